@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, langid, quality, ranker, toxicity
+from weftgraph.llm import bpe, decontam, langid, licences, quality, ranker, reputation, toxicity
 from weftgraph.llm.common import held_out
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,27 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label with its number: bad if of low quality or toxic."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    out = reputation.judge(table(spark, sf_dir, "pages"), outcomes, RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_share", 6).alias("bad_share"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/lang/hundred/number; every twentieth is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    licence_file = F.col("doc_id") % 20 == 0
+    above = F.when(F.col("doc_id") % 60 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string")))
+    path = F.when(licence_file, F.concat_ws("/", above, F.concat(F.lit("LICENSE."), F.col("doc_id")))).otherwise(
+        F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licences.scan(docs.select("doc_id", path.alias("path"), "text", F.coalesce(licence_file, F.lit(False)).alias("is_licence_file")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.item_digests(found)
@@ -51,9 +72,71 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(encoded)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality_rules, op3_quality_ranking, op6_toxicity, op8_decontaminate, op9_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality_rules, op3_quality_ranking, op6_toxicity, op7_host_reputation, op8_decontaminate, op9_byte_bpe, op10_licences)}
+
+#: Template vectors as SQL values; the figures come from the fixed texts of the templates.
+_IDF, _VECTORS = licences.template_weights(licences.TEMPLATES)
+_IDF_SQL = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in _IDF.items())
+_VECTOR_SQL = ", ".join(f"('{w}', '{k}', {x!r}::DOUBLE)" for k, v in _VECTORS.items() for w, x in v.items())
+_STRENGTH = "greatest(0.5, least(1000.0, coalesce(CASE WHEN sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) > 0 THEN sum(n * m * (1 - m) * (n - 1)) / sum((k - n * m) ** 2 - n * m * (1 - m)) - 1 ELSE 1000.0 END, 1000.0)))"
 
 ORACLES: dict[str, str] = {
+    "op7_host_reputation": rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+o AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels),
+h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+hs AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hs GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 20) FROM d) AS m FROM d GROUP BY suffix),
+sa AS (SELECT suffix, (k + a * m) / (n + a) AS m FROM s, (SELECT {_STRENGTH} AS a FROM s)),
+dm AS (SELECT domain, n, k, m FROM d JOIN sa USING (suffix)),
+da AS (SELECT domain, (k + a * m) / (n + a) AS m FROM dm, (SELECT {_STRENGTH} AS a FROM dm)),
+hm AS (SELECT host, n, k, m FROM hs JOIN da USING (domain)),
+ha AS (SELECT host, (k + a * m) / (n + a) AS mean, n + a AS total FROM hm, (SELECT {_STRENGTH} AS a FROM hm)),
+r AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS t(rule, rhost, rpath, action)),
+m AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM p JOIN r ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN mean - 1.2816 * sqrt(mean * (1 - mean) / (total + 1)) > 0.30 THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS bad_share
+FROM p LEFT JOIN m USING (page_id) LEFT JOIN ha USING (host)
+""",
+    "op10_licences": rf"""
+WITH f AS (
+  SELECT doc_id, doc_id % 20 = 0 AS whole, text,
+         CASE WHEN doc_id % 60 = 0 THEN source ELSE source || '/' || lang || '/' || (doc_id // 100)::VARCHAR END AS dir,
+         CASE WHEN doc_id % 20 = 0 THEN 'LICENSE.' || doc_id::VARCHAR ELSE doc_id::VARCHAR || '.txt' END AS name
+  FROM documents),
+fp AS (SELECT *, dir || '/' || name AS path FROM f),
+idf AS (SELECT * FROM (VALUES {_IDF_SQL}) AS t(word, idf)),
+vec AS (SELECT * FROM (VALUES {_VECTOR_SQL}) AS t(word, licence, weight)),
+seg AS (
+  SELECT DISTINCT doc_id, path, dir, whole, segment
+  FROM (SELECT doc_id, path, dir, whole, unnest(string_split(text, chr(10))) AS segment FROM fp) WHERE regexp_matches(segment, '(?i)\b(licen|copyright|copyleft|spdx)')
+  UNION SELECT doc_id, path, dir, whole, text FROM fp WHERE whole AND length(text) > 0),
+tf AS (
+  SELECT segment, word, count(*) AS tf
+  FROM (SELECT segment, unnest(regexp_extract_all(translate(segment, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([0-9a-z]+(?:\.[0-9]+)*)')) AS word FROM (SELECT DISTINCT segment FROM seg))
+  GROUP BY ALL),
+w AS (SELECT segment, tf.word, tf * coalesce(idf, ln(1 + {len(licences.TEMPLATES)}) + 1) AS x FROM tf LEFT JOIN idf ON tf.word = idf.word),
+norm AS (SELECT segment, sqrt(sum(x * x)) AS norm FROM w GROUP BY segment),
+sc AS (
+  SELECT segment, licence, round(dot / norm, 6) AS score
+  FROM (SELECT segment, licence, sum(x * weight) AS dot FROM w JOIN vec USING (word) GROUP BY ALL) JOIN norm USING (segment)),
+own AS (
+  SELECT doc_id, path, dir, whole, score, licence AS own_licence
+  FROM seg JOIN sc USING (segment) WHERE score >= {licences.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, licence) = 1),
+decl AS (SELECT dir AS above, own_licence AS licence FROM own WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, own_licence) = 1),
+near AS (
+  SELECT d.dir, above, licence FROM (SELECT DISTINCT dir FROM fp) d JOIN decl ON d.dir = above OR starts_with(d.dir, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(above) DESC) = 1)
+SELECT fp.doc_id, fp.path, own_licence, score, coalesce(own_licence, near.licence) AS licence, CASE WHEN own_licence IS NULL THEN above END AS inherited_from
+FROM fp LEFT JOIN own USING (doc_id, path) LEFT JOIN near ON fp.dir = near.dir
+""",
     "op8_decontaminate": r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w

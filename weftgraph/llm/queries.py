@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, langid, licences, quality, ranker, reputation, toxicity
+from weftgraph.llm import bpe, decontam, langid, licences, paritysketch, quality, ranker, reputation, toxicity
 from weftgraph.llm.common import held_out
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,10 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= ranker.CUT).cast("int").alias("predicted"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paritysketch.near_duplicates(table(spark, sf_dir, "documents"), paritysketch.Join(words=3, num=90))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c, 5, 0))
@@ -72,7 +76,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(encoded)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality_rules, op3_quality_ranking, op6_toxicity, op7_host_reputation, op8_decontaminate, op9_byte_bpe, op10_licences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality_rules, op3_quality_ranking, op5_jaccard_join, op6_toxicity, op7_host_reputation, op8_decontaminate, op9_byte_bpe, op10_licences)}
 
 #: Template vectors as SQL values; the figures come from the fixed texts of the templates.
 _IDF, _VECTORS = licences.template_weights(licences.TEMPLATES)

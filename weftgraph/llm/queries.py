@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, decontam, langid, licences, paritysketch, quality, ranker, reputation, toxicity
+from weftgraph.llm import bpe, decontam, langid, licences, linededup, paritysketch, quality, ranker, reputation, toxicity
 from weftgraph.llm.common import held_out
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,10 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= ranker.CUT).cast("int").alias("predicted"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dropped_by_document(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paritysketch.near_duplicates(table(spark, sf_dir, "documents"), paritysketch.Join(words=3, num=90))
 
@@ -76,7 +80,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(encoded)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality_rules, op3_quality_ranking, op5_jaccard_join, op6_toxicity, op7_host_reputation, op8_decontaminate, op9_byte_bpe, op10_licences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_quality_rules, op3_quality_ranking, op4_line_dedup, op5_jaccard_join, op6_toxicity, op7_host_reputation, op8_decontaminate, op9_byte_bpe, op10_licences)}
 
 #: Template vectors as SQL values; the figures come from the fixed texts of the templates.
 _IDF, _VECTORS = licences.template_weights(licences.TEMPLATES)
@@ -85,6 +89,18 @@ _VECTOR_SQL = ", ".join(f"('{w}', '{k}', {x!r}::DOUBLE)" for k, v in _VECTORS.it
 _STRENGTH = "greatest(0.5, least(1000.0, coalesce(CASE WHEN sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) > 0 THEN sum(n * m * (1 - m) * (n - 1)) / sum((k - n * m) ** 2 - n * m * (1 - m)) - 1 ELSE 1000.0 END, 1000.0)))"
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": r"""
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+occ AS (SELECT doc_id, i - 1 AS no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs) WHERE length(ls[i]) >= 20),
+firsts AS (SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM occ GROUP BY line),
+near AS (
+  SELECT a.line, b.first FROM firsts a JOIN firsts b ON a.n = b.n OR a.n = b.n + 1 OR a.n = b.n + 2 OR a.n = b.n - 1 OR a.n = b.n - 2
+  WHERE a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+lim AS (SELECT line, min(first) AS first FROM (SELECT line, first FROM firsts UNION ALL SELECT line, first FROM near) GROUP BY line),
+gone AS (SELECT doc_id, list_sort(list(DISTINCT no::INTEGER)) AS dropped FROM occ JOIN lim USING (line) WHERE (doc_id, no) > lim.first GROUP BY doc_id)
+SELECT d.doc_id, d.n_lines, coalesce(len(dropped), 0)::BIGINT AS n_dropped, coalesce(dropped, []::INTEGER[]) AS dropped
+FROM (SELECT doc_id, max(coalesce(len(ls), 0))::BIGINT AS n_lines FROM docs GROUP BY doc_id) d LEFT JOIN gone USING (doc_id)
+""",
     "op7_host_reputation": rf"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -46,6 +46,14 @@ def checked_broadcast(spark: SparkSession, value, n_bytes: int, limit: int = 64
     return spark.sparkContext.broadcast(value)
 
 
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """A small table made local and marked for broadcast; refused beyond the limit."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows to broadcast")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder that the cluster names.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, cut, map_arrow, pick
+from weftgraph.llm.common import bounded, byte_texts, cut, map_arrow, pick
 
 CUT = 0.7
 #: The threshold lies midway between the quantiles this share below and above the share of rejected labels.
@@ -108,6 +108,7 @@ def score(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
     part = {y: min(1.0, per_class / n) for y, n in counts.items()}
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("rank")), F.lit(1_000_000))
     sample = known.where(drawn < F.when(F.col("y") == 1, int(part[1] * 1e6)).otherwise(int(part[0] * 1e6)))
+    sample = bounded(sample, 4 * per_class + 1000)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [np.array(features(t), "<f8").tobytes() for t in byte_texts(batch.column(1))]

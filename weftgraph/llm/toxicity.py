@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import checked_broadcast, map_arrow, pick
+from weftgraph.llm.common import bounded, checked_broadcast, map_arrow, pick
 
 DEFAULT = 6.0
 SCHEMA = "doc_id bigint, score double, n_matches bigint, weight double"
@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
         return builtin
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1_000_000))
     part = {y: int(min(1.0, per_class / n) * 1e6) for y, n in counts.items()}
-    sample = texts.join(known.where(drawn < F.when(F.col("y") == 1, part[1]).otherwise(part[0])), "doc_id").select("text", "y")
+    chosen_ids = bounded(known.where(drawn < F.when(F.col("y") == 1, part[1]).otherwise(part[0])), 4 * per_class + 1000)
+    sample = texts.join(chosen_ids, "doc_id").select("text", "y")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = [Counter(), Counter()]

@@ -77,3 +77,33 @@ def held_out(column, modulus: int, remainder: int):
 def crc_fold(doc_id: int | None, modulus: int) -> int:
     """The same fold in plain Python (null ids: -1)."""
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % modulus
+
+
+#: Slots of 512 words of 64 bits in the filter of hash_filter(): 4 MB whatever the input.
+SLOTS = 1024
+
+
+def hash_filter(values: DataFrame) -> DataFrame:
+    """A table of at most SLOTS rows that holds a bit for each 64-bit hash in values.h.
+
+    Its size does not grow with the values; with more of them more bits are set.
+    It is built with map-side combining.
+    """
+    h = F.col("h")
+    slot = F.pmod(F.shiftright(h, 15), F.lit(SLOTS)).cast("int").alias("__slot")
+    word, bit = F.expr("CAST(shiftright(h, 6) & 511L AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(h & 63L AS INT))").alias("b")
+    words = values.where(h.isNotNull()).select(slot, word, bit).groupBy("__slot", "w").agg(F.bit_or("b").alias("b"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long")))
+    return cut(words.groupBy("__slot").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m")).select("__slot", full.alias("__words")))
+
+
+def maybe_in(rows: DataFrame, hash_col: str, table: DataFrame, flag: str) -> DataFrame:
+    """rows with a flag that is true wherever the hash is in the hash_filter() table.
+
+    It may flag others too, never misses one, and spares shuffles; an exact join
+    or grouping has to follow. The table is broadcast, its size is fixed.
+    """
+    c = F.col(hash_col)
+    found = F.expr(f"shiftrightunsigned(get(__words, CAST(shiftright({hash_col}, 6) & 511L AS INT)), CAST({hash_col} & 63L AS INT)) & 1L")
+    joined = rows.join(F.broadcast(table), F.pmod(F.shiftright(c, 15), F.lit(SLOTS)).cast("int") == F.col("__slot"), "left")
+    return joined.select(*rows.columns, F.coalesce(found == 1, F.lit(False)).alias(flag))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, checked_broadcast, cut, map_arrow, pick
+from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick
 
 CACHE_WORDS = 500_000
 WEAK_BITS = 2
@@ -235,7 +235,7 @@ def links(edges: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             ok.append(100 * common >= join.num * (len(s) + len(t) - common))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_arrow(both, verify, "a bigint, b bigint")
+    return map_arrow(both, verify, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,10 +326,14 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     sets = cut(shingle_sets(base, join))
     member = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
     classes = member.groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    # A node's sketches are those of any row with its set.
+    # A node's sketches are those of any row with its set. Only sets that may occur
+    # twice are shuffled, and combined before that.
     may = member.where((F.size("upper") > 0) | (F.size("lower") > 0))
-    nodes = may.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("upper").alias("upper"), F.first("lower").alias("lower"))
-    nodes = cut(nodes)
+    again = hash_filter(may.groupBy("node").count().where("count > 1").select(F.col("node").alias("h")))
+    marked = maybe_in(may, "node", again, "again").withColumnRenamed("doc_id", "rep")
+    columns = ["node", "rep", "n", "band", "upper", "lower"]
+    grouped = marked.where("again").groupBy("node").agg(F.min_by(F.struct(*columns[1:]), "rep").alias("r")).select("node", *[f"r.{c}" for c in columns[1:]])
+    nodes = marked.where("NOT again").select(*columns).unionByName(cut(grouped))
     keys = part_keys(nodes, join)
     sample = part_keys(nodes.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0), join)
     hot = sample.groupBy("key").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key")
@@ -339,7 +343,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     centres = buckets.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
     stars = cut(buckets.join(centres, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
 
-    ids = nodes.select("rep").join(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node").select("rep").distinct(), "rep", "left_semi")
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    ids = cut(nodes.select("node", "rep").join(ends, "node", "left_semi").select("rep").distinct())
     holder: dict = {}
 
     def blobs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -349,8 +354,10 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "blob"])
 
     # Every node of a bucket is in a star, so the stars name all sets that may be needed.
-    exact = map_arrow(base.join(ids, base["doc_id"] == ids["rep"], "left_semi").select("text"), blobs, "node bigint, blob binary").where("node IS NOT NULL")
-    exact = cut(exact.dropDuplicates(["node"]))
+    hashed = base.withColumn("id_hash", F.xxhash64("doc_id"))
+    near = maybe_in(hashed, "id_hash", hash_filter(ids.select(F.xxhash64("rep").alias("h"))), "near").where("near")
+    exact = map_arrow(near.join(ids, near["doc_id"] == ids["rep"], "left_semi").select("text"), blobs, "node bigint, blob binary").where("node IS NOT NULL")
+    exact = cut(exact)
     first = cut(links(stars, exact, join))
     labels = components(first)
     rest = residual(buckets, labels, nodes, join).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")

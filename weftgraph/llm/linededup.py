@@ -10,7 +10,8 @@ that meet pass a second pigeonhole test (of 3 * edits pieces all but `edits`
 must occur near their place) and are verified by the banded bit-parallel
 recurrence on what their common prefix and suffix leave.
 
-A segment in more than HOT lines is hot: there, pairs meet in the same equi-join
+A segment in more than about HOT lines, as a fixed sample of lines by hash shows,
+is hot: there, pairs meet in the same equi-join
 with the condition that parity sketches of their characters and pairs of
 characters differ in few bits, so that only pairs that may match leave the join.
 
@@ -31,11 +32,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, pick
+from weftgraph.llm.common import cut, hash_filter, maybe_in, pick
 
 EDITS = 2
 MIN_CHARS = 20
-HOT = 16
+HOT, SAMPLE = 48, 8
 BROADCAST_KEYS = 100_000
 
 
@@ -47,23 +48,28 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return start, size + F.when(longer > k - i, 1).otherwise(0)
 
 
-def index_keys(line: Column, k: int) -> Column:
-    """Hashes of (length, number, segment) of a line."""
-    n = F.length(line)
-    parts = [(i, *_segment(n, i, k)) for i in range(k + 1)]
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)) for i, start, size in parts])
+def keys(line: Column, k: int) -> Column:
+    """Hashes of (length, number, substring) of a line, with the role in the lowest bit.
 
+    These are all substrings that can align with a segment of a line up to k
+    shorter; the bit is set for the line's own segments, which are the index. The
+    line is taken as four bytes for each character, where a substring is found
+    without a scan, and the keys are one lambda, small enough to be compiled.
+    """
+
+    def of(units: Column) -> Column:
+        out = []
+        for shorter in range(k + 1):
+            n = F.shiftright(F.octet_length(units), 2) - shorter
+            for i in range(k + 1):
+                start, size = _segment(n, i, k)
+                for shift in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
+                    own = shorter == 0 and shift == 0
+                    h = F.xxhash64(n, F.lit(i), F.substring(units, (start + shift) * 4 + 1, size * 4))
+                    out.append(h.bitwiseOR(F.lit(1).cast("long")) if own else h.bitwiseAND(F.lit(-2).cast("long")))
+        return F.array(*out)
 
-def probe_keys(line: Column, k: int) -> Column:
-    """Hashes of the substrings that can align with a segment of a line up to k shorter."""
-    keys = []
-    for shorter in range(k + 1):
-        n = F.length(line) - shorter
-        for i in range(k + 1):
-            start, size = _segment(n, i, k)
-            for shift in range(max(-i, shorter - (k - i)), min(i, shorter + (k - i)) + 1):
-                keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1 + shift, size)))
-    return F.array(*keys)
+    return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
 
 
 def let(value: Column, body) -> Column:
@@ -78,60 +84,83 @@ def common_prefix(x: Column, y: Column, bits: int = 20) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= least) & (F.left(x, n + s) == F.left(y, n + s)), n + s).otherwise(n))
 
 
-def banded_distance(x: Column, y: Column, k: int) -> Column:
-    """Edit distance of x and y if it is at most k, else any number above k; |x| - |y| in 0..k.
+def _chars(s: Column) -> Column:
+    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
+
+
+def _band(xs: Column, ys: Column, apart: Column, k: int) -> Column:
+    """The band after all characters of ys: words vp, vn and d on the diagonal `apart`.
 
     Bit i of each word is row j - k + i of column j: the band moves down one row
-    for each character of y. The cell on the diagonal |x| - |y| ends as the
-    distance; it grows wherever its diagonal step is not free.
+    for each character. d grows wherever the step on its diagonal is not free.
     """
     width = 2 * k + 1
     mask = (1 << width) - 1
     m = lambda c: c.bitwiseAND(F.lit(mask).cast("long"))
-    zero = F.lit(0).cast("long")
 
-    def over(xs: Column, ys: Column) -> Column:
-        def match(j: Column) -> Column:
-            bits = [F.when(F.get(xs, j - 1 - k + i) == F.get(ys, j - 1), 1 << i).otherwise(0).cast("long") for i in range(width)]
-            return reduce(lambda a, b: a + b, bits)
+    def match(j: Column) -> Column:
+        bits = [F.when(F.get(xs, j - 1 - k + i) == F.get(ys, j - 1), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(width)]
+        return reduce(lambda a, b: a + b, bits)
+
+    def step(s: Column, pm: Column) -> Column:
+        free = m((pm.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(pm).bitwiseOR(s["vn"]))
+
+        def move(d0: Column) -> Column:
+            hp = m(s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"]))))
+            down = F.shiftright(d0, 1)
+            return F.struct(
+                m(d0.bitwiseAND(s["vp"]).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)))).alias("vp"),
+                down.bitwiseAND(hp).alias("vn"),
+                (s["d"] + F.when(d0.bitwiseAND(s["diagonal"]) == 0, 1).otherwise(0)).alias("d"),
+                s["diagonal"].alias("diagonal"),
+            )
+
+        return let(free, move)
+
+    powers = F.array(*[F.lit(1 << b).cast("long") for b in range(width)])
+    start = F.struct(F.lit(mask & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), apart.alias("d"), F.get(powers, apart + k).alias("diagonal"))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.size(ys)), match), start, step)
+
+
+def banded_distance(x: Column, y: Column, k: int) -> Column:
+    """Edit distance of x and y if it is at most k, else any number above k; |x| - |y| in 0..k."""
+    whole = lambda p: _band(p["x"], p["y"], F.size(p["x"]) - F.size(p["y"]), k)["d"]
+    return F.when(F.length(y) == 0, F.length(x)).otherwise(let(F.struct(_chars(x).alias("x"), _chars(y).alias("y")), whole))
 
-        def step(s: Column, pm: Column) -> Column:
-            free = let(pm, lambda p: m((p.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(p).bitwiseOR(s["vn"])))
 
-            def move(d0: Column) -> Column:
-                hp = m(s["vn"].bitwiseOR(F.bitwise_not(d0.bitwiseOR(s["vp"]))))
-                down = F.shiftright(d0, 1)
-                return F.struct(
-                    m(d0.bitwiseAND(s["vp"]).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)))).alias("vp"),
-                    down.bitwiseAND(hp).alias("vn"),
-                    (s["d"] + F.when(d0.bitwiseAND(s["diagonal"]) == 0, 1).otherwise(0)).alias("d"),
-                    s["diagonal"].alias("diagonal"),
-                )
+def window_bound(x: Column, y: Column, k: int, window: int = 24) -> Column:
+    """A lower bound of banded_distance() from the first characters: the least cell of the band."""
+    apart = F.length(x) - F.length(y)
+    low = F.array(*[F.lit((1 << (a + k)) - 1).cast("long") for a in range(k + 1)])
 
-            return let(free, move)
+    def least(p: Column) -> Column:
+        def of(s: Column) -> Column:
+            up = F.get(low, p["apart"])
+            return s["d"] - F.greatest(F.bit_count(s["vp"].bitwiseAND(up)), F.bit_count(s["vn"].bitwiseAND(F.bitwise_not(up))))
 
-        apart = F.size(xs) - F.size(ys)
-        powers = F.array(*[F.lit(1 << b).cast("long") for b in range(width)])
-        start = F.struct(F.lit(mask & ~((1 << k) - 1)).cast("long").alias("vp"), zero.alias("vn"), apart.alias("d"), F.get(powers, apart + k).alias("diagonal"))
-        pms = F.transform(F.sequence(F.lit(1), F.size(ys)), match)
-        return F.when(F.size(ys) == 0, F.size(xs)).otherwise(F.aggregate(pms, start, step)["d"])
+        return let(_band(p["x"], p["y"], p["apart"], k), of)
 
-    chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
-    return let(F.struct(chars(x).alias("x"), chars(y).alias("y")), lambda p: over(p["x"], p["y"]))
+    start = F.struct(_chars(F.left(x, F.lit(window + k))).alias("x"), _chars(F.left(y, F.lit(window))).alias("y"), apart.alias("apart"))
+    return F.when(F.length(y) == 0, F.length(x)).otherwise(let(start, least))
 
 
 def trimmed_distance(x: Column, y: Column, k: int) -> Column:
-    """banded_distance() without the common prefix and suffix; any two strings."""
+    """banded_distance() of any two strings, of what their common prefix and suffix leave.
+
+    What is left differs at both ends; most pairs too far apart show it in the
+    first characters.
+    """
     long_, short = F.when(F.length(x) >= F.length(y), x).otherwise(y), F.when(F.length(x) >= F.length(y), y).otherwise(x)
 
     def core(p: Column) -> Column:
-        n = p["n"]
-        a, b = F.substr(p["x"], n + 1), F.substr(p["y"], n + 1)
-        tail = common_prefix(F.reverse(a), F.reverse(b))
-        return let(F.struct(F.left(a, F.length(a) - tail).alias("x"), F.left(b, F.length(b) - tail).alias("y")), lambda q: banded_distance(q["x"], q["y"], k))
+        a, b = F.substr(p["x"], p["n"] + 1), F.substr(p["y"], p["n"] + 1)
+        left = lambda q: F.struct(F.left(q["a"], F.length(q["a"]) - q["tail"]).alias("x"), F.left(q["b"], F.length(q["b"]) - q["tail"]).alias("y"))
+        rest = let(F.struct(a.alias("a"), b.alias("b")), lambda q: let(F.struct(q["a"].alias("a"), q["b"].alias("b"), common_prefix(F.reverse(q["a"]), F.reverse(q["b"])).alias("tail")), left))
+        return let(rest, lambda q: F.when(window_bound(q["x"], q["y"], k) > k, k + 1).otherwise(banded_distance(q["x"], q["y"], k)))
 
     far = F.length(long_) - F.length(short) > k
-    return F.when(far, k + 1).otherwise(let(F.struct(long_.alias("x"), short.alias("y")), lambda p: let(F.struct(p["x"].alias("x"), p["y"].alias("y"), common_prefix(p["x"], p["y"]).alias("n")), core)))
+    pair = F.struct(long_.alias("x"), short.alias("y"))
+    return F.when(far, k + 1).otherwise(let(pair, lambda p: let(F.struct(p["x"].alias("x"), p["y"].alias("y"), common_prefix(p["x"], p["y"]).alias("n")), core)))
 
 
 def pieces_near(x: Column, y: Column, k: int) -> Column:
@@ -148,33 +177,57 @@ def pieces_near(x: Column, y: Column, k: int) -> Column:
 
 def sketches(line: Column) -> Column:
     """Parity sketches of a line's characters (2 flips an edit at most) and of its pairs of characters (4)."""
-    flip = lambda a, c: a.bitwiseXOR(F.expr("1L") * F.pow(F.lit(2.0), F.pmod(F.xxhash64(c), F.lit(62))).cast("long"))
-    chars = F.split(line, "")
-    one = F.aggregate(chars, F.lit(0).cast("long"), flip)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1))), lambda i: F.substring(line, i, F.lit(2)))
-    return F.struct(one.alias("one"), F.aggregate(pairs, F.lit(0).cast("long"), flip).alias("two"))
-
-
-def similar_lines(lines: DataFrame, k: int = EDITS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct lines within k edits; lines has h and line."""
-    index = lines.select(F.col("h").alias("a"), F.explode(index_keys(F.col("line"), k)).alias("key"))
-    probe = lines.select(F.col("h").alias("b"), F.explode(probe_keys(F.col("line"), k)).alias("key"))
-    hot = cut(index.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    zero = F.lit(0).cast("long")
+
+    def of(chars: Column) -> Column:
+        pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
+        return F.struct(F.aggregate(chars, zero, flip).alias("one"), F.aggregate(pairs, zero, flip).alias("two"))
+
+    return let(F.split(line, ""), of)
+
+
+def distinct_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(h, line), each line once; repeated has the hashes that occur twice.
+
+    Only lines that may be repeated are shuffled, and combined before that.
+    """
+    marked = maybe_in(lines, "h", hash_filter(repeated), "again")
+    once = cut(marked.where("again").groupBy("h").agg(F.min("line").alias("line")))
+    return marked.where("NOT again").select("h", "line").unionByName(once)
+
+
+def similar_lines(lines: DataFrame, unique: DataFrame, k: int = EDITS) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct lines within k edits.
+
+    lines has h and line, unique the same with each line once.
+    """
+    spark = unique.sparkSession
+    key = F.col("key").bitwiseAND(F.lit(-2).cast("long"))
+    is_index = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
+    every = unique.select("h", "line", F.explode(keys(F.col("line"), k)).alias("key")).select(key.alias("key"), is_index.alias("index"), "h", "line")
+    hot = cut(every.where(F.pmod("h", F.lit(SAMPLE)) == 0).where("index").groupBy("key").count().where(F.col("count") * SAMPLE > HOT).select("key"))
     n_hot = hot.count()
+    known = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cold = unique.select("h", F.explode(keys(F.col("line"), k)).alias("key")).select(key.alias("key"), is_index.alias("index"), "h")
+    dealt = (cold.join(known, "key", "left_anti") if n_hot else cold).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    # Both sides read one exchange: rand() keeps the filter from moving below it.
+    x = dealt.where(F.col("index") & (F.rand(0) >= 0)).select("key", F.col("h").alias("a"))
+    # Two index rows meet twice; once is enough.
+    y = dealt.select("key", F.col("h").alias("b"), F.col("index").alias("too"))
+    pairs = x.join(y, "key").where("a <> b AND NOT (too AND a > b)").select(*ordered)
+    near = (F.bit_count(F.col("sx.one").bitwiseXOR(F.col("sy.one"))) <= 2 * k) & (F.bit_count(F.col("sx.two").bitwiseXOR(F.col("sy.two"))) <= 4 * k)
     if n_hot:
-        known = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-        hot_index, hot_probe = index.join(known, "key", "left_semi"), probe.join(known, "key", "left_semi")
-        named = hot_index.select(F.col("a").alias("h")).unionByName(hot_probe.select(F.col("b").alias("h"))).distinct()
-        drawn = cut(lines.join(named, "h").select("h", F.length("line").alias("n"), sketches(F.col("line")).alias("s")))
-        x = hot_index.join(drawn.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
-        y = hot_probe.join(drawn.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
-        near = (F.bit_count(F.col("sa.one").bitwiseXOR(F.col("sb.one"))) <= 2 * k) & (F.bit_count(F.col("sa.two").bitwiseXOR(F.col("sb.two"))) <= 4 * k)
-        pairs_hot = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & near).select(*ordered)
-        index = index.join(known, "key", "left_anti")
-    pairs = index.join(probe, "key").where("a <> b").select(*ordered)
-    pairs = (pairs.unionByName(pairs_hot) if n_hot else pairs).distinct()
-    texts = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+        rows = cut(every.join(known, "key", "left_semi").select("key", "index", "h", sketches(F.col("line")).alias("s")))
+        x = rows.where("index").select("key", F.col("h").alias("a"), F.col("s").alias("sx"))
+        y = rows.select("key", F.col("h").alias("b"), F.col("s").alias("sy"))
+        pairs = pairs.unionByName(x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & near).select(*ordered))
+    pairs = cut(pairs.distinct())
+    named = hash_filter(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))))
+    needed = maybe_in(lines, "h", named, "needed").where("needed").groupBy("h").agg(F.min("line").alias("line"))
+    needed = cut(needed.select("h", "line", sketches(F.col("line")).alias("s")))
+    texts = pairs.join(needed.toDF("a", "x", "sx"), "a").join(needed.toDF("b", "y", "sy"), "b").where(near)
     maybe = texts.where(F.least(pieces_near(F.col("x"), F.col("y"), k), pieces_near(F.col("y"), F.col("x"), k)) >= 2 * k)
     return maybe.where(trimmed_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b")
 
@@ -183,21 +236,18 @@ def dropped_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, i
     """(doc_id, n_lines) of every document, and (doc_id, no, h) of every dropped line (no from 0)."""
     base = pick(docs, id_col, text_col).toDF("doc_id", "text")
     split_up = F.split("text", "\n", -1)
+    # Line hashes only; the texts are read again where they are needed, but not shuffled.
     table = cut(base.select("doc_id", F.transform(split_up, lambda s: F.when(F.length(s) >= min_chars, F.xxhash64(s))).alias("hs")))
-    sizes = table.groupBy("doc_id").agg(F.max(F.coalesce(F.size("hs"), F.lit(0))).cast("bigint").alias("n_lines"))
-    sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    sizes = table.groupBy("doc_id").agg(F.greatest(F.max(F.coalesce(F.size("hs"), F.lit(0))), F.lit(0)).cast("bigint").alias("n_lines"))
     places = table.select("doc_id", F.posexplode("hs").alias("no", "h")).where("h IS NOT NULL")
     # A null id comes last.
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("no"))
-    firsts = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    lines = (
-        base.select(F.explode(split_up).alias("line")).where(F.length("line") >= min_chars)
-        .select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.min("line").alias("line"))
-    )
-    pairs = cut(similar_lines(lines, k))
+    firsts = cut(places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("h", "first", (F.col("n") > 1).alias("again")))
+    lines = base.select(F.explode(split_up).alias("line")).where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("h"), "line")
+    pairs = cut(similar_lines(lines, distinct_lines(lines, firsts.where("again")), k))
     ends = pairs.select(F.col("a").alias("h"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("near")))
     earlier = ends.join(firsts.select(F.col("h").alias("near"), "first"), "near").groupBy("h").agg(F.min("first").alias("other"))
-    limits = firsts.join(earlier, "h", "left").where((F.col("n") > 1) | (F.col("other") < F.col("first")))
+    limits = firsts.join(earlier, "h", "left").where("again OR other < first")
     limits = limits.select("h", F.least("first", F.coalesce("other", "first")).alias("first"))
     return sizes, places.join(limits, "h").where(place > F.col("first")).select("doc_id", "no", "h")
 

@@ -106,4 +106,18 @@ def maybe_in(rows: DataFrame, hash_col: str, table: DataFrame, flag: str) -> Dat
     c = F.col(hash_col)
     found = F.expr(f"shiftrightunsigned(get(__words, CAST(shiftright({hash_col}, 6) & 511L AS INT)), CAST({hash_col} & 63L AS INT)) & 1L")
     joined = rows.join(F.broadcast(table), F.pmod(F.shiftright(c, 15), F.lit(SLOTS)).cast("int") == F.col("__slot"), "left")
-    return joined.select(*rows.columns, F.coalesce(found == 1, F.lit(False)).alias(flag))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(found == 1, F.lit(False)).alias(flag))
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in gone (one column); null ids compare as equal.
+
+    Only rows that may be in gone meet it in a shuffled join; the rest stay where
+    they are. All columns and repeated rows are kept.
+    """
+    ids = gone.select(F.col(f"`{gone.columns[0]}`").alias("__gone_id")).distinct()
+    hashed = docs.withColumn("__id_hash", F.xxhash64(F.col(f"`{id_col}`")))
+    marked = maybe_in(hashed, "__id_hash", hash_filter(ids.select(F.xxhash64("__gone_id").alias("h"))), "__maybe")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = marked.where("__maybe").join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")), "left_anti")
+    return marked.where("NOT __maybe").select(*columns).unionByName(maybe.select(*columns))

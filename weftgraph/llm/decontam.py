@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, checked_broadcast, map_arrow, pick
+from weftgraph.llm.common import byte_texts, checked_broadcast, cut, map_arrow, pick, without_ids
 
 WINDOW = 8
 SHARD_BYTES = 4 << 20
@@ -247,5 +247,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, win
     All columns and repeated rows stay; rows with a null doc_id are judged too.
     """
     found = item_digests(find_matches(docs, benchmark, window), min_items)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    return without_ids(docs, "doc_id", cut(found.where("contaminated").select("doc_id")))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick
+from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick, without_ids
 
 CACHE_WORDS = 500_000
 WEAK_BITS = 2
@@ -379,5 +379,9 @@ def keep_one(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_
     Texts without words and rows with a null id stay.
     """
     found = near_duplicates(docs, join, id_col, text_col)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti").dropDuplicates()
+    left = without_ids(docs, id_col, cut(found.where("component_id < doc_id").select("doc_id")))
+    again = cut(pick(docs, id_col).groupBy(F.col(f"`{id_col}`").alias("id")).count().where("count > 1 AND id IS NOT NULL").select("id"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, left[id_col] == again["id"], "left_semi").dropDuplicates([id_col])
+    return without_ids(left, id_col, again).unionByName(once)

@@ -30,7 +30,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ranker.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~held_out(c, 4, 2))
+    docs = table(spark, sf_dir, "documents")
+    out = ranker.score(docs, ranker.learn(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c, 4, 2)))
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= ranker.CUT).cast("int").alias("predicted"))
 
 

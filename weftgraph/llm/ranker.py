@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded, byte_texts, cut, map_arrow, pick
+from weftgraph.llm.common import bounded, byte_texts, hash_filter, map_arrow, maybe_in, pick
 
 CUT = 0.7
 #: The threshold lies midway between the quantiles this share below and above the share of rejected labels.
@@ -90,8 +90,26 @@ def _matrix(rows) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["x"]) for r in rows), "<f8").reshape(len(rows), len(NAMES))
 
 
-def score(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, raw, score for every row of docs.
+@dataclass
+class Judge:
+    """A model and the raw score at which score is CUT; without a model everything scores CUT."""
+
+    model: Model | None
+    at: float = 0.0
+
+    def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.model is None:
+            return np.zeros(len(x)), np.full(len(x), CUT)
+        raw = self.model.raw(x)
+        return raw, 1 / (1 + np.exp(-np.clip(raw - self.at + np.log(CUT / (1 - CUT)), -500, 500)))
+
+
+def _features_of(column: pa.Array) -> np.ndarray:
+    return np.array([features(t) for t in byte_texts(column)]).reshape(len(column), len(NAMES))
+
+
+def learn(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Judge:
+    """Fit the model on pairs and find the quantile over all labelled rows.
 
     trainable(column) tells from the id which rows labels may be learned from.
     labels has doc_id and label_col (1 preferred, 0 rejected, null unknown); an id
@@ -104,33 +122,47 @@ def score(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
     )
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
-        return one.select("doc_id", F.lit(0.0).alias("raw"), F.lit(CUT).alias("score"))
-    part = {y: min(1.0, per_class / n) for y, n in counts.items()}
+        return Judge(None)
+    part = {y: int(min(1.0, per_class / n) * 1e6) for y, n in counts.items()}
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("rank")), F.lit(1_000_000))
-    sample = known.where(drawn < F.when(F.col("y") == 1, int(part[1] * 1e6)).otherwise(int(part[0] * 1e6)))
-    sample = bounded(sample, 4 * per_class + 1000)
+    sample = bounded(known.where(drawn < F.when(F.col("y") == 1, part[1]).otherwise(part[0])), 4 * per_class + 1000)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [np.array(features(t), "<f8").tobytes() for t in byte_texts(batch.column(1))]
+        x = [row.astype("<f8").tobytes() for row in _features_of(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], names=["y", "x"])
 
-    got = map_arrow(one.join(sample, "doc_id").select("y", "text"), vectors, "y int, x binary").collect()
-    got = sorted(got, key=lambda r: bytes(r["x"]))
+    got = sorted(map_arrow(one.join(sample, "doc_id").select("y", "text"), vectors, "y int, x binary").collect(), key=lambda r: bytes(r["x"]))
     good, bad = [r for r in got if r["y"] == 1], [r for r in got if r["y"] == 0]
     if not good or not bad:
-        return one.select("doc_id", F.lit(0.0).alias("raw"), F.lit(CUT).alias("score"))
+        return Judge(None)
     model = fit(_matrix(good), _matrix(bad))
 
     def raw(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([features(t) for t in byte_texts(batch.column(1))]).reshape(batch.num_rows, len(NAMES))
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(model.raw(x), pa.float64())], names=["doc_id", "raw"])
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(model.raw(_features_of(batch.column(1))), pa.float64())], names=["doc_id", "raw"])
 
-    # Read twice below, while the texts are read once: kept in the shared folder.
-    scored = cut(map_arrow(one, raw, "doc_id bigint, raw double"))
     share = counts[0] / (counts[0] + counts[1])
     around = [share * (1 - SIDE), min(1.0, share * (1 + SIDE))]
-    ends = scored.join(known, "doc_id").agg(F.percentile_approx("raw", around, 20_000)).first()[0]
-    at = sum(ends) / 2 if ends else 0.0
-    logit = float(np.log(CUT / (1 - CUT)))
-    return scored.select("doc_id", "raw", (1 / (1 + F.exp(-(F.col("raw") - F.lit(float(at)) + logit)))).alias("score"))
+    # Only rows that may be labelled are scored here; the join is exact.
+    hashed = maybe_in(one.withColumn("id_hash", F.xxhash64("doc_id")), "id_hash", hash_filter(known.select(F.xxhash64("doc_id").alias("h"))), "labelled")
+    ends = map_arrow(hashed.where("labelled").select("doc_id", "text"), raw, "doc_id bigint, raw double").join(known, "doc_id").agg(F.percentile_approx("raw", around, 20_000)).first()[0]
+    return Judge(model, sum(ends) / 2 if ends else 0.0)
+
+
+def score(docs: DataFrame, judge: Judge, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, raw, score of every whole text."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, scores = judge.scores(_features_of(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(raw, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "raw", "score"])
+
+    return map_arrow(pick(docs, id_col, text_col), one, "doc_id bigint, raw double, score double")
+
+
+def keep(docs: DataFrame, judge: Judge, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score CUT or more, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(judge.scores(_features_of(batch.column(place)))[1] >= CUT))
 
+    return map_arrow(docs, one, docs.schema)

@@ -10,8 +10,8 @@ that meet pass a second pigeonhole test (of 3 * edits pieces all but `edits`
 must occur near their place) and are verified by the banded bit-parallel
 recurrence on what their common prefix and suffix leave.
 
-A segment in more than about HOT lines, as a fixed sample of lines by hash shows,
-is hot: there, pairs meet in the same equi-join
+A segment in more than about HOT lines, as a fixed sample of documents by hash
+shows, is hot: there, pairs meet in the same equi-join
 with the condition that parity sketches of their characters and pairs of
 characters differ in few bits, so that only pairs that may match leave the join.
 
@@ -36,7 +36,7 @@ from weftgraph.llm.common import cut, hash_filter, maybe_in, pick
 
 EDITS = 2
 MIN_CHARS = 20
-HOT, SAMPLE = 48, 8
+HOT, SAMPLE = 24, 8
 BROADCAST_KEYS = 100_000
 
 
@@ -128,7 +128,7 @@ def banded_distance(x: Column, y: Column, k: int) -> Column:
     return F.when(F.length(y) == 0, F.length(x)).otherwise(let(F.struct(_chars(x).alias("x"), _chars(y).alias("y")), whole))
 
 
-def window_bound(x: Column, y: Column, k: int, window: int = 24) -> Column:
+def window_bound(x: Column, y: Column, k: int, window: int = 12) -> Column:
     """A lower bound of banded_distance() from the first characters: the least cell of the band."""
     apart = F.length(x) - F.length(y)
     low = F.array(*[F.lit((1 << (a + k)) - 1).cast("long") for a in range(k + 1)])
@@ -197,37 +197,50 @@ def distinct_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return marked.where("NOT again").select("h", "line").unionByName(once)
 
 
-def similar_lines(lines: DataFrame, unique: DataFrame, k: int = EDITS) -> DataFrame:
+def _split_keys(lines: DataFrame, k: int) -> DataFrame:
+    """(key, index, h): a row for each key of each line."""
+    raw = lines.select("h", F.explode(keys(F.col("line"), k)).alias("raw"))
+    one = F.lit(1).cast("long")
+    return raw.select(F.col("raw").bitwiseAND(F.lit(-2).cast("long")).alias("key"), (F.col("raw").bitwiseAND(one) == 1).alias("index"), "h")
+
+
+def similar_lines(lines: DataFrame, unique: DataFrame, sample: DataFrame, k: int = EDITS) -> DataFrame:
     """Pairs (a, b), a < b, of distinct lines within k edits.
 
-    lines has h and line, unique the same with each line once.
+    lines has h and line, unique the same with each line once, sample the lines of
+    one document in SAMPLE.
     """
-    spark = unique.sparkSession
-    key = F.col("key").bitwiseAND(F.lit(-2).cast("long"))
-    is_index = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
-    every = unique.select("h", "line", F.explode(keys(F.col("line"), k)).alias("key")).select(key.alias("key"), is_index.alias("index"), "h", "line")
-    hot = cut(every.where(F.pmod("h", F.lit(SAMPLE)) == 0).where("index").groupBy("key").count().where(F.col("count") * SAMPLE > HOT).select("key"))
+    n_parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = _split_keys(unique, k)
+    drawn = _split_keys(sample, k).where("index").select("key", "h").distinct()
+    hot = cut(drawn.groupBy("key").count().where(F.col("count") * SAMPLE > HOT).select("key"))
     n_hot = hot.count()
     known = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cold = unique.select("h", F.explode(keys(F.col("line"), k)).alias("key")).select(key.alias("key"), is_index.alias("index"), "h")
-    dealt = (cold.join(known, "key", "left_anti") if n_hot else cold).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    # Both sides read one exchange: rand() keeps the filter from moving below it.
-    x = dealt.where(F.col("index") & (F.rand(0) >= 0)).select("key", F.col("h").alias("a"))
-    # Two index rows meet twice; once is enough.
+    # One exchange serves all readers: filters that are not deterministic keep what is
+    # above from moving below it, and both sides of the join keep the same columns.
+    dealt = every.repartition(n_parts, "key")
+    x = dealt.where(F.when(F.spark_partition_id() >= 0, F.col("index")).otherwise(False)).select("key", F.col("h").alias("a"))
+    x = x.join(known, "key", "left_anti") if n_hot else x
     y = dealt.select("key", F.col("h").alias("b"), F.col("index").alias("too"))
-    pairs = x.join(y, "key").where("a <> b AND NOT (too AND a > b)").select(*ordered)
+    # Two index rows meet twice; once is enough.
+    met = x.join(y, "key").where("a <> b AND NOT (too AND a > b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select("a", "b", F.lit(None).cast("long").alias("key"), F.lit(False).alias("index"))
+    if n_hot:
+        met = met.unionByName(dealt.where(F.spark_partition_id() >= 0).join(known, "key", "left_semi").select(F.col("h").alias("a"), F.lit(None).cast("long").alias("b"), "key", "index"))
+    met = cut(met)
+    named = hash_filter(met.select(F.col("a").alias("h")).unionByName(met.select(F.col("b").alias("h"))))
+    needed = maybe_in(lines, "h", named, "needed").where("needed").groupBy("h").agg(F.min("line").alias("line"))
+    needed = cut(needed.select("h", "line", sketches(F.col("line")).alias("s")))
     near = (F.bit_count(F.col("sx.one").bitwiseXOR(F.col("sy.one"))) <= 2 * k) & (F.bit_count(F.col("sx.two").bitwiseXOR(F.col("sy.two"))) <= 4 * k)
+    pairs = met.where("b IS NOT NULL").select("a", "b")
+    drawn = needed.select("h", "s")
+    pairs = pairs.join(drawn.toDF("a", "sx"), "a").join(drawn.toDF("b", "sy"), "b").where(near).select("a", "b")
     if n_hot:
-        rows = cut(every.join(known, "key", "left_semi").select("key", "index", "h", sketches(F.col("line")).alias("s")))
+        rows = met.where("b IS NULL").select("key", "index", F.col("a").alias("h")).join(drawn, "h")
         x = rows.where("index").select("key", F.col("h").alias("a"), F.col("s").alias("sx"))
         y = rows.select("key", F.col("h").alias("b"), F.col("s").alias("sy"))
-        pairs = pairs.unionByName(x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & near).select(*ordered))
-    pairs = cut(pairs.distinct())
-    named = hash_filter(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))))
-    needed = maybe_in(lines, "h", named, "needed").where("needed").groupBy("h").agg(F.min("line").alias("line"))
-    needed = cut(needed.select("h", "line", sketches(F.col("line")).alias("s")))
-    texts = pairs.join(needed.toDF("a", "x", "sx"), "a").join(needed.toDF("b", "y", "sy"), "b").where(near)
+        both = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & near)
+        pairs = pairs.unionByName(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    texts = pairs.join(needed.select("h", "line").toDF("a", "x"), "a").join(needed.select("h", "line").toDF("b", "y"), "b").repartition(n_parts)
     maybe = texts.where(F.least(pieces_near(F.col("x"), F.col("y"), k), pieces_near(F.col("y"), F.col("x"), k)) >= 2 * k)
     return maybe.where(trimmed_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b")
 
@@ -243,12 +256,17 @@ def dropped_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, i
     # A null id comes last.
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("no"))
     firsts = cut(places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("h", "first", (F.col("n") > 1).alias("again")))
-    lines = base.select(F.explode(split_up).alias("line")).where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("h"), "line")
-    pairs = cut(similar_lines(lines, distinct_lines(lines, firsts.where("again")), k))
+
+    def lines_of(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(split_up).alias("line")).where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("h"), "line")
+
+    lines, sample = lines_of(base), lines_of(base.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0))
+    pairs = cut(similar_lines(lines, distinct_lines(lines, firsts.where("again")), sample, k))
     ends = pairs.select(F.col("a").alias("h"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("near")))
     earlier = ends.join(firsts.select(F.col("h").alias("near"), "first"), "near").groupBy("h").agg(F.min("first").alias("other"))
     limits = firsts.join(earlier, "h", "left").where("again OR other < first")
-    limits = limits.select("h", F.least("first", F.coalesce("other", "first")).alias("first"))
+    limits = cut(limits.select("h", F.least("first", F.coalesce("other", "first")).alias("first")))
+    places = maybe_in(places, "h", hash_filter(limits), "limited").where("limited").drop("limited")
     return sizes, places.join(limits, "h").where(place > F.col("first")).select("doc_id", "no", "h")
 
 

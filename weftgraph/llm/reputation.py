@@ -87,7 +87,7 @@ def _shrink(groups: DataFrame, limits: Limits) -> DataFrame:
     """
     plain = F.col("n") * F.col("m") * (1 - F.col("m"))
     over = F.sum((F.col("k") - F.col("n") * F.col("m")) ** 2 - plain)
-    rho = over / F.sum(plain * (F.col("n") - 1))
+    rho = F.try_divide(over, F.sum(plain * (F.col("n") - 1)))
     strength = groups.agg(F.greatest(F.lit(limits.least_strength), F.least(F.lit(limits.most_strength), F.when(rho > 0, 1 / rho - 1).otherwise(limits.most_strength))).alias("strength"))
     strength = strength.select(F.coalesce("strength", F.lit(limits.most_strength)).alias("strength"))
     return groups.crossJoin(F.broadcast(strength))  # one row: the level's prior

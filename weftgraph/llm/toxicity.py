@@ -47,10 +47,19 @@ MIN_STEM, MAX_STEM = 4, 8
 
 
 class _Fold(dict):
-    """Table for str.translate(), filled as characters turn up."""
+    """Table for str.translate(), filled as characters turn up.
+
+    Inside a word digits and signs are letters, elsewhere they are spaces.
+    """
+
+    def __init__(self, inside: bool):
+        self.inside = inside
 
     def __missing__(self, code: int) -> str:
         char = chr(code)
+        if not self.inside and char.isascii() and not char.isalpha():
+            self[code] = " "
+            return " "
         plain = next((k for k, v in SUBSTITUTES.items() if char in v), None)
         if plain is None:
             base = unicodedata.normalize("NFKC", char).lower()
@@ -59,7 +68,7 @@ class _Fold(dict):
         return plain
 
 
-_FOLD = _Fold()
+_FOLD, _WORD = _Fold(False), _Fold(True)
 
 
 def fold(text: str) -> str:
@@ -82,7 +91,7 @@ _PLAIN = {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}
 
 def _as_letters(word: str) -> str:
     body = word.rstrip("!$")
-    return "".join(_FOLD[ord(c)] for c in body) + " " * (len(word) - len(body))
+    return "".join(_WORD[ord(c)] for c in body) + " " * (len(word) - len(body))
 
 
 @dataclass

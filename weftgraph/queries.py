@@ -224,29 +224,43 @@ best AS (SELECT id AS element, min(depth)::INTEGER AS depth FROM r GROUP BY id)
 SELECT * FROM best{'' if keep_seeds else ' WHERE depth > 0'}"""
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {reach('out', '[5, 17]', 3)}")
+ENDS = "[(SELECT min(src) FROM act), (SELECT max(src) FROM act)]"
+FIRST = "[(SELECT min(src) FROM act)]"
+
+
+def _ends(graph) -> list[int]:
+    """The smallest and the greatest source: seeds that every scale has."""
+    return list(graph.edges.agg(F.min("src"), F.max("src")).first())
+
+
+@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('out', ENDS, 3)}")
 def bfs_out(spark, d):
-    return X.activity(spark, d, 150).bfs_bounded([5, 17], 3, include_seeds=True)
+    g = X.activity(spark, d, 600)
+    return g.bfs_bounded(_ends(g), 3, include_seeds=True)
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {reach('in', '[5, 17]', 3, False)}")
+@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('in', ENDS, 3, False)}")
 def bfs_in(spark, d):
-    return X.activity(spark, d, 150).bfs_bounded([5, 17], 3, direction="incoming")
+    g = X.activity(spark, d, 600)
+    return g.bfs_bounded(_ends(g), 3, direction="incoming")
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {reach('both', '[5]', 2)}")
+@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('both', FIRST, 2)}")
 def bfs_both(spark, d):
-    return X.activity(spark, d, 150).bfs_bounded([5], 2, include_seeds=True, direction="both")
+    g = X.activity(spark, d, 600)
+    return g.bfs_bounded(_ends(g)[:1], 2, include_seeds=True, direction="both")
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {reach('both', '[5, 17, 40]', 2, False)}")
+@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('both', ENDS, 2, False)}")
 def bfs_multi_seed(spark, d):
-    return X.activity(spark, d, 150).bfs_bounded([5, 17, 40, 5], 2, direction="both")
+    g = X.activity(spark, d, 600)
+    return g.bfs_bounded(_ends(g) * 2, 2, direction="both")
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {reach('out', '[5]', 40)}".replace("AS depth FROM r GROUP", "AS hops FROM r GROUP"))
+@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('out', FIRST, 60)}".replace("AS depth FROM r GROUP", "AS hops FROM r GROUP"))
 def sssp_hops(spark, d):
-    return X.activity(spark, d, 150).hops(5)
+    g = X.activity(spark, d, 600)
+    return g.hops(_ends(g)[0])
 
 
 @query(f"""WITH RECURSIVE {SUPPLIES}, act AS (SELECT * FROM sup), {reach('both', f'[{T}*4 + 1]', 2)}""")
@@ -255,10 +269,11 @@ def supplier_two_hops(spark, d):
     return X.supplies(spark, d).bfs_bounded([4 * T + 1], 2, include_seeds=True, direction="both")
 
 
-@query(f"""WITH RECURSIVE {activity_sql(150)}, walked AS ({reach('out', '[5]', 2).replace('mv AS', 'WITH RECURSIVE mv AS')})
+@query(f"""WITH RECURSIVE {activity_sql(600)}, walked AS ({reach('out', FIRST, 2).replace('mv AS', 'WITH RECURSIVE mv AS')})
 SELECT edge AS relation_id, src AS source, dst AS target FROM act WHERE src IN (SELECT element FROM walked) AND dst IN (SELECT element FROM walked)""")
 def walk_internal_edges(spark, d):
-    return X.activity(spark, d, 150).walk([5], 2, include_start=True).edges
+    g = X.activity(spark, d, 600)
+    return g.walk(_ends(g)[:1], 2, include_start=True).edges
 
 
 @query(f"WITH {GEO} SELECT dst AS element_id, 1 AS depth FROM geo_edge WHERE src = {T}*3 + 1 UNION ALL SELECT b.dst, 2 FROM geo_edge a JOIN geo_edge b ON a.dst = b.src WHERE a.src = {T}*3 + 1")

@@ -283,8 +283,9 @@ def remove_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id
     """docs with the dropped lines taken out of the text; all columns and rows stay."""
     _, dropped = dropped_lines(docs, k, min_chars, id_col, text_col)
     lists = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("no", "h")).alias("__gone")).withColumnRenamed("doc_id", "__own_id")
-    joined = docs.join(lists, docs[id_col].eqNullSafe(lists["__own_id"]), "left")
-    parts = F.split(docs[text_col], "\n", -1)
+    of = {c: docs[f"`{c}`"] for c in docs.columns}
+    joined = docs.join(lists, of[id_col].eqNullSafe(lists["__own_id"]), "left")
+    parts = F.split(of[text_col], "\n", -1)
     left = F.filter(parts, lambda s, i: ~F.array_contains(F.col("__gone"), F.struct(i.alias("no"), F.xxhash64(s).alias("h"))))
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    text = F.when(F.col("__gone").isNull(), of[text_col]).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else of[c] for c in docs.columns])

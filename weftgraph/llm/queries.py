@@ -101,6 +101,23 @@ lim AS (SELECT line, min(first) AS first FROM (SELECT line, first FROM firsts UN
 gone AS (SELECT doc_id, list_sort(list(DISTINCT no::INTEGER)) AS dropped FROM occ JOIN lim USING (line) WHERE (doc_id, no) > lim.first GROUP BY doc_id)
 SELECT d.doc_id, d.n_lines, coalesce(len(dropped), 0)::BIGINT AS n_dropped, coalesce(dropped, []::INTEGER[]) AS dropped
 FROM (SELECT doc_id, max(coalesce(len(ls), 0))::BIGINT AS n_lines FROM docs GROUP BY doc_id) d LEFT JOIN gone USING (doc_id)
+""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS digest FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM w),
+r AS (SELECT a AS s, b AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a),
+c AS (SELECT s AS doc_id, min(t) AS component_id FROM r GROUP BY s),
+d AS (SELECT digest, min(doc_id) AS class_id FROM n GROUP BY digest)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN d USING (digest) JOIN c ON c.doc_id = w.doc_id
 """,
     "op7_host_reputation": rf"""
 WITH p AS (

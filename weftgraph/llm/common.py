@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -69,6 +70,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files and checkpoints that nothing refers to any more.
+
+    It works when the driver collects its garbage, which a long job may put off
+    until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(column, modulus: int, remainder: int):
     """crc32 of the id as text, modulo: the fold of a document."""
     return (F.crc32(column.cast("string")) % modulus) == remainder

@@ -3,19 +3,22 @@
 A document is its set of hashed word shingles. Two sets with J >= t differ in at
 most (|A| + |B|) (1 - t) / (1 + t) shingles. Sizes fall into bands whose bounds
 grow by 1/t, so partners lie in one band or in neighbours; for each pair of
-neighbouring bands there is a largest difference D. A shingle flips one of 64
-bits in one of the parts of a sketch, so the Hamming distance of two sketches is
-at most the difference of their sets, and with D + 1 parts one part must agree.
-There are SLACK more parts, so that a document may leave out as many weak parts
-(almost no bits) and still share a strong one; a document with more weak parts
-leaves out none. Documents that share a part are candidates.
-
-Equal sets are one node from the start. In each bucket the node whose parts are
-shared most is the centre; all members are verified against it and the verified
-links are contracted. Only pairs in different components of a bucket are left:
-small buckets list them, large ones compare whole sketches in blocks and list
-what passes. All candidates are verified on the exact shingle sets, so every
-link is found or lies inside a component.
+neighbouring bands there is a largest difference D. A sketch has a 64-bit word
+for each of its parts; a shingle XORs its hash into one of them, which is the
+parity of a very wide bit sketch, folded linearly. A shingle in only one of two
+sets changes one word, so the Hamming distance of two sketches, counted in words,
+is at most the difference of their sets, and with D + 1 words one must agree.
+There are a few words more, so that a document may leave out as many empty words
+and still share one that is not; a document with more empty words leaves out
+none. Documents that share a word are candidates.
+
+Equal sets are one node from the start. Small buckets list their pairs, and a pair
+is a candidate if it shares as many words as a link must. In a large bucket the
+node whose words are shared most is the centre, and all members are candidates
+with it. Candidates are verified on the exact shingle sets and their links are
+contracted. Large buckets that still hold several components compare whole
+sketches across these in blocks and list what passes. So every link is found or
+lies inside a component.
 
 Hot parts are found on a fixed sample of nodes; their rows are known to have
 partners and need not be shuffled to find them. Everything else covers all rows.
@@ -37,11 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick, without_ids
+from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick, release, without_ids
 
 CACHE_WORDS = 500_000
-WEAK_BITS = 2
-SMALL = 24
+PASSES = 4
+#: The lowest bits of a key hold the number of the lower of its two bands, plus one.
+PAIR_MASK = 511
+SMALL = 8
 BLOCK = 128
 HOT_SAMPLE, HOT_COUNT, HOT_KEYS = 64, 8, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -70,7 +75,7 @@ class Join:
         most = (int(lows[i + 2]) - 1 + int(lows[i + 1]) - 1) * (100 - self.num) // (100 + self.num)
         if most < 1:
             return 0, 0
-        slack = 1 + most // (24 if self.num >= 90 else 4)
+        slack = 1 + most // 24
         return most + 1 + slack, slack
 
 
@@ -105,19 +110,43 @@ class _Hashes(dict):
 
 
 def sketch(shingles: np.ndarray, n_parts: int) -> np.ndarray:
-    """Parity of the shingles at each of 64 bits in each part."""
-    at = ((shingles >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64) * 64 + ((shingles >> np.uint64(8)) & np.uint64(63)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n_parts * 64) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n_parts, 64), axis=1, bitorder="little").view(np.int64).ravel()
+    """XOR of the shingles' hashes in each part."""
+    part = ((shingles >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+    h = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    out = np.zeros(n_parts, np.uint64)
+    np.bitwise_xor.at(out, part, h ^ (h >> np.uint64(32)))
+    return out.view(np.int64)
 
 
 def _strong(parts: np.ndarray, slack: int) -> np.ndarray:
-    """Places of the parts to emit: all but the weak ones, or all if too many are weak."""
-    strong = np.flatnonzero(np.bitwise_count(parts.view(np.uint64)) > WEAK_BITS)
+    """Places of the words to emit: all but the empty ones, or all if too many are empty."""
+    strong = np.flatnonzero(parts)
     return strong if len(parts) - len(strong) <= slack else np.arange(len(parts))
 
 
-SETS = "doc_id bigint, n bigint, node bigint, band int, upper array<bigint>, lower array<bigint>"
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each of a power of two of bits, at least four times their number.
+
+    Halves can be folded by XOR, so sketches of any two sizes compare; their Hamming
+    distance is at most the difference of the sets.
+    """
+    m = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount(((shingles >> np.uint64(7)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer bytes: halves XORed until it has the size."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def bits_distance(x: np.ndarray, y: np.ndarray) -> int:
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+
+
+SETS = "doc_id bigint, n bigint, node bigint, band int, bits binary, upper array<bigint>, lower array<bigint>"
 
 
 def shingle_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,27 +157,31 @@ def shingle_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
         if not holder:
             holder.update(shingler=Shingler(join), lows=join.lows())
         lows = holder["lows"]
-        n, node, band, upper, lower = [], [], [], [], []
+        n, node, band, bits, upper, lower = [], [], [], [], [], []
         for text in byte_texts(batch.column(1)):
             s = holder["shingler"](text)
             n.append(len(s))
             node.append(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
             i = int(np.searchsorted(lows, len(s), "right")) - 1
             band.append(i)
+            bits.append(parity_bits(s).tobytes() if len(s) else b"")
             for out, b in ((upper, i), (lower, i - 1)):
                 count = join.parts(lows, b)[0] if b >= 0 and len(s) else 0
                 out.append(sketch(s, count) if count else np.zeros(0, np.int64))
         kind = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int32()), pa.array(upper, kind), pa.array(lower, kind)],
-            names=["doc_id", "n", "node", "band", "upper", "lower"],
+            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int32()), pa.array(bits, pa.binary()), pa.array(upper, kind), pa.array(lower, kind)],
+            names=["doc_id", "n", "node", "band", "bits", "upper", "lower"],
         )
 
     return map_arrow(pick(docs, id_col, text_col), one, SETS)
 
 
-def part_keys(nodes: DataFrame, join: Join) -> DataFrame:
-    """(key, node): a row for each emitted part; nodes has node, band, upper, lower."""
+def part_keys(nodes: DataFrame, join: Join, turn: int | None = None) -> DataFrame:
+    """(key, node): a row for each emitted part; nodes has node, band, upper, lower.
+
+    With a turn, only those of every PASSES-th pair of bands.
+    """
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         lows = join.lows()
@@ -159,12 +192,13 @@ def part_keys(nodes: DataFrame, join: Join) -> DataFrame:
             ends = np.cumsum([0, *column.value_lengths().to_pylist()])
             for r, b in enumerate(bands):
                 parts = flat[ends[r] : ends[r + 1]]
-                if len(parts):
+                if len(parts) and (turn is None or (b + side) % PASSES == turn):
                     at = _strong(parts, join.parts(lows, b + side)[1])
                     seed = np.uint64(0xC2B2AE3D27D4EB4F) * (np.uint64(b + side + 1) * np.uint64(1 << 32) + at.astype(np.uint64))
                     k = (parts[at].view(np.uint64) ^ seed) * np.uint64(0x9E3779B97F4A7C15)
                     k = (k ^ (k >> np.uint64(31)) ^ seed) * np.uint64(0xD6E8FEB86659FD93)
-                    keys.append((k ^ (k >> np.uint64(32))).view(np.int64))
+                    k = (k ^ (k >> np.uint64(32))) & ~np.uint64(PAIR_MASK) | np.uint64(b + side + 1)
+                    keys.append(k.view(np.int64))
                     owner.append(np.full(len(at), r))
         flat_keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         rows = np.concatenate(owner) if owner else np.zeros(0, np.int64)
@@ -238,6 +272,20 @@ def links(edges: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return map_arrow(both, verify, "a bigint, b bigint").distinct()
 
 
+def may_link(edges: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The edges (a, b) whose parity bits do not rule a link out; nodes has node, n and bits."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            ok.append(bits_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (100 + join.num) <= (n + m) * (100 - join.num))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return map_arrow(both, one, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, for nodes with edges.
 
@@ -265,7 +313,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _block_pairs(left: tuple, right: tuple, same: bool, num: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks in different components whose sketches may link."""
+    """Places of the pairs of two blocks (labels, parity words, sizes) in different components that may link."""
     (la, pa_, na), (lb, pb, nb) = left, right
     differ = la[:, None] != lb[None, :]
     if same:
@@ -276,44 +324,61 @@ def _block_pairs(left: tuple, right: tuple, same: bool, num: int) -> tuple[np.nd
     return np.nonzero(differ & (distance * (100 + num) <= (na[:, None] + nb[None, :]) * (100 - num)))
 
 
-def residual(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) that share a key but not yet a component."""
-    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def candidates(sized: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of small buckets that share enough words, and the stars (a, b) of large ones.
+
+    sized has key, node, size (of the bucket), n and band. A pair with d shingles
+    in only one set at most shares all but d of the words of its pair of bands;
+    some of them may be empty, and some in large buckets, which are not listed.
+    """
+    lows = join.lows()
+    needed = [max(p - s, 0) for p, s in (join.parts(lows, i) for i in range(min(PAIR_MASK, len(lows) - 2)))]
+    pair = F.col("key").bitwiseAND(F.lit(PAIR_MASK).cast("long")).cast("int") - 1
+    small = sized.where(F.col("size") <= SMALL)
+    big = sized.where(F.col("size") > SMALL)
+    hidden = big.groupBy("node", pair.alias("pair")).agg(F.count("*").alias("hidden"))
+    side = lambda x: small.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"))
+    shared = (
+        side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.least("banda", "bandb") == pair))
+        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(pair).alias("pair"))
+    )
+    shared = shared.join(hidden.toDF("a", "pair", "ha"), ["a", "pair"], "left").join(hidden.toDF("b", "pair", "hb"), ["b", "pair"], "left")
+    most = F.floor((F.col("na") + F.col("nb")) * (100 - join.num) / (100 + join.num))
+    least = F.get(F.array(*[F.lit(x).cast("long") for x in needed]), F.col("pair")) - most
+    listed = shared.where(F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= least).select("a", "b")
+    weight = big.groupBy("node").agg(F.sum("size").alias("weight"))
+    centres = big.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    stars = big.join(centres, "key").where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    return listed, stars.distinct()
+
+
+def residual(big: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of large buckets (key, node) that are not yet in one component and may link."""
+    named = big.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split_up = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    rows = cut(named.join(split_up, "key"))
-    small = rows.where(F.col("size") <= SMALL)
-    x, y = small.select("key", F.col("node").alias("a"), F.col("label").alias("la")), small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    listed = x.join(y, "key").where("a < b AND la <> lb").select("a", "b").distinct()
-    large = rows.where(F.col("size") > SMALL)
+    large = cut(named.join(split_up, "key"))
     if large.isEmpty():
-        return listed
+        return large.select(F.col("node").alias("a"), F.col("node").alias("b"))
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = large.select("key", "node", "label", n_blocks.alias("nb"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("i"))
     meet = dealt.select("key", "node", "label", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    full = meet.join(nodes.select("node", "n", "band", "upper", "lower"), "node").withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
+    full = meet.join(nodes.select("node", "n", "bits"), "node").withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
 
     def compare(_, pdf):
         import pandas as pd
 
-        out = []
-        for side in {int(b) for b in pdf["band"]} | {int(b) - 1 for b in pdf["band"]}:
-            own = pdf[(pdf["band"] == side) | (pdf["band"] == side + 1)]
-            parts = [u if b == side else w for b, u, w in zip(own["band"], own["upper"], own["lower"])]
-            if len(own) < 2 or not len(parts[0]):
-                continue
-            block = own["i"].to_numpy()
-            pick_ = lambda m: (own["label"].to_numpy()[m], np.stack([np.asarray(parts[r], np.int64).view(np.uint64) for r in np.flatnonzero(m)]), own["n"].to_numpy()[m], own["node"].to_numpy()[m])
-            p, q = int(own["p"].iloc[0]), int(own["q"].iloc[0])
-            one, two = block == p, block == q
-            if not one.any() or not two.any():
-                continue
-            a, b = pick_(one), pick_(two)
-            r, c = _block_pairs(a[:3], b[:3], p == q, join.num)
-            out.append(pd.DataFrame({"a": np.minimum(a[3][r], b[3][c]), "b": np.maximum(a[3][r], b[3][c])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        bits = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
+        least = min(map(len, bits))
+        words = np.stack([folded(x, least) for x in bits]).view(np.uint64)
+        label, n, node, block = (pdf[c].to_numpy() for c in ("label", "n", "node", "i"))
+        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        r, c = _block_pairs((label[a], words[a], n[a]), (label[b], words[b], n[b]), p == q, join.num)
+        x, y = node[a][r], node[b][c]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     blocks = full.groupBy("key", "p", "q").applyInPandas(compare, "a bigint, b bigint")
-    return listed.unionByName(blocks).distinct()
+    return blocks.distinct()
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,20 +396,23 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     may = member.where((F.size("upper") > 0) | (F.size("lower") > 0))
     again = hash_filter(may.groupBy("node").count().where("count > 1").select(F.col("node").alias("h")))
     marked = maybe_in(may, "node", again, "again").withColumnRenamed("doc_id", "rep")
-    columns = ["node", "rep", "n", "band", "upper", "lower"]
+    columns = ["node", "rep", "n", "band", "bits", "upper", "lower"]
     grouped = marked.where("again").groupBy("node").agg(F.min_by(F.struct(*columns[1:]), "rep").alias("r")).select("node", *[f"r.{c}" for c in columns[1:]])
     nodes = marked.where("NOT again").select(*columns).unionByName(cut(grouped))
-    keys = part_keys(nodes, join)
     sample = part_keys(nodes.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0), join)
     hot = sample.groupBy("key").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key")
-    buckets = cut(shared_parts(keys, hot))
+    # Pairs of bands take turns, so that only a part of the words is on disk at once.
+    turns = []
+    for turn in range(PASSES):
+        turns.append(cut(shared_parts(part_keys(nodes, join, turn), hot)))
+        release(docs.sparkSession)
+    buckets = reduce(DataFrame.unionByName, turns)
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    weight = buckets.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    centres = buckets.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
-    stars = cut(buckets.join(centres, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    sized = cut(buckets.join(sizes, "key").join(nodes.select("node", "n", "band"), "node"))
+    listed, stars = candidates(sized, join)
+    stars = cut(listed.unionByName(stars).distinct())
+    big = sized.where(F.col("size") > SMALL).select("key", "node")
 
-    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    ids = cut(nodes.select("node", "rep").join(ends, "node", "left_semi").select("rep").distinct())
     holder: dict = {}
 
     def blobs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -353,15 +421,21 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
         node = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64) if len(s) else None for s in got]
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "blob"])
 
-    # Every node of a bucket is in a star, so the stars name all sets that may be needed.
-    hashed = base.withColumn("id_hash", F.xxhash64("doc_id"))
-    near = maybe_in(hashed, "id_hash", hash_filter(ids.select(F.xxhash64("rep").alias("h"))), "near").where("near")
-    exact = map_arrow(near.join(ids, near["doc_id"] == ids["rep"], "left_semi").select("text"), blobs, "node bigint, blob binary").where("node IS NOT NULL")
-    exact = cut(exact)
-    first = cut(links(stars, exact, join))
+    def verified(edges: DataFrame) -> DataFrame:
+        """Links among candidates, on sets made anew from the few texts that are needed."""
+        edges = cut(may_link(edges, nodes, join))
+        release(docs.sparkSession)
+        ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        ids = cut(nodes.select("node", "rep").join(ends, "node", "left_semi").select("rep").distinct())
+        hashed = base.withColumn("id_hash", F.xxhash64("doc_id"))
+        near = maybe_in(hashed, "id_hash", hash_filter(ids.select(F.xxhash64("rep").alias("h"))), "near").where("near")
+        exact = map_arrow(near.join(ids, near["doc_id"] == ids["rep"], "left_semi").select("text"), blobs, "node bigint, blob binary").where("node IS NOT NULL")
+        return cut(links(edges, cut(exact), join))
+
+    first = verified(stars)
     labels = components(first)
-    rest = residual(buckets, labels, nodes, join).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    second = cut(links(rest, exact, join))
+    rest = residual(big, labels, nodes, join).join(stars, ["a", "b"], "left_anti")
+    second = verified(rest)
     if not second.isEmpty():
         labels = components(first.unionByName(second))
     whole = classes.join(labels, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))

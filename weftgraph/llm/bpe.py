@@ -31,7 +31,7 @@ from weftgraph.llm.common import checked_broadcast, map_arrow, pick
 
 LEAF_BYTES = 48
 CHUNK_CHARS = 1 << 15
-CACHE_PIECES = 400_000
+CACHE_PIECES = 120_000
 SCHEMA = "doc_id bigint, ids_le32 binary, decoded binary"
 
 

@@ -31,6 +31,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = fn(batch)
             if out is not None:
                 yield out
+        # Workers are used again by later tasks; what is free goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

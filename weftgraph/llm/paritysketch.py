@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick, release, without_ids
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 PASSES = 4
 #: The lowest bits of a key hold the number of the lower of its two bands, plus one.
 PAIR_MASK = 511

@@ -25,14 +25,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import pick
+from weftgraph.llm.common import cut, pick
 
 THRESHOLD = 0.6
-HEADER = r"(?i)\b(licen|copyright|copyleft|spdx)"
+STEMS = ("licen", "copyright", "copyleft", "spdx")
+HEADER = rf"(?i)\b({'|'.join(STEMS)})"
 WORD = r"[0-9a-z]+(?:\.[0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,13 +103,17 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     whole_col tells which files are licence files.
     """
     files = pick(files, id_col, path_col, text_col, whole_col).toDF("doc_id", "path", "text", "whole")
-    header = F.filter(F.split("text", "\n"), lambda line: line.rlike(HEADER))
+    # Most texts hold none of the stems; only the others are split and matched line by line.
+    low = F.lower("text")
+    may = reduce(lambda a, b: a | b, [low.contains(stem) for stem in STEMS])
+    header = F.when(may, F.filter(F.split("text", "\n"), lambda line: line.rlike(HEADER))).otherwise(F.array().cast("array<string>"))
     parts = F.when(F.col("whole"), F.array_append(header, F.col("text"))).otherwise(header)
-    # The texts stay behind: from here on a file is its id, its path and its segments.
+    # The texts are read once: from here on a file is its id, its path and its segments.
     light = files.select(
         "doc_id", "path", F.coalesce("whole", F.lit(False)).alias("whole"),
         F.coalesce(F.array_distinct(F.filter(parts, lambda s: F.length(s) > 0)), F.array().cast("array<string>")).alias("segments"),
     ).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)^(.*)/", 1)).otherwise(F.when(F.col("path").isNotNull(), "")))
+    light = cut(light)
     split_up = light.where(F.size("segments") > 0).select("doc_id", "path", "whole", "dir", F.explode("segments").alias("segment"))
     best = segment_scores(split_up.select("segment"), templates).where(F.col("score") >= threshold)
     keyed = split_up.select("doc_id", "path", "whole", "dir", F.xxhash64("segment").alias("h1"), F.md5(F.col("segment").cast("binary")).alias("h2"))

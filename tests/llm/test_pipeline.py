@@ -38,3 +38,13 @@ def test_against_plain_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "jaccard_join", "decontaminate", "byte_bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+
+
+def test_one_benchmark_item_is_enough(spark, tmp_path):
+    """A document with a passage of a single benchmark item leaves the decontaminate stage."""
+    items = [(1, "one two three four five six seven eight nine"), (2, "uno dos tres cuatro cinco seis siete ocho nueve")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(0, "nothing of the kind"), (1, "so: ONE two three four five six seven eight nine ten"), (2, " ".join(t for _, t in items)), (3, "one two three four five six seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]

@@ -91,6 +91,18 @@ def test_compression_bands(spark):
     assert got[0] and not got[1] and not got[2]
 
 
+def test_chunks_cover_the_whole_text(spark):
+    """Unreadable tails are judged, also in texts below 4096 bytes."""
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 8))) for _ in range(1200))
+    code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2900))
+    got = {r["doc_id"]: r for r in quality.judge(frame(spark, [prose[:4096] + code, prose[:2000] + code[:1500], prose[:4096] + prose[4096:5000], prose[:3500]])).collect()}
+    assert [got[i]["kept"] for i in range(4)] == [False, False, True, True]
+    assert got[0]["bad_chunks"] > 0.34 and not any(r["base_failed"] for r in got.values())
+    text = bytes(range(256)) * 5
+    assert quality.chunks(text, 1024) == [text[:1024], text[256:]] and quality.chunks(text[:1024], 1024) == [text[:1024]] and quality.chunks(text, 4096) == []
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(9)
     words = ["ab", "Cd", "é", "x1", "zz"]

@@ -1,8 +1,11 @@
 """Quality rules: counts over whole texts and compression bands.
 
 A text is rejected when its zstandard ratio (compressed bytes by bytes) lies
-outside the band of its length, or when too many of its fixed chunks lie outside
-the chunk band: repetitive text compresses too well, random text not at all.
+outside the band of its length, or when too many of its chunks lie outside their
+band: repetitive text compresses too well, random text not at all. Chunks have
+two sizes, the smaller one under the whole-text band of its length; the last
+chunk of each size ends at the end of the text, so every byte is in one.
+A text shorter than the smaller size is judged as a whole only.
 Texts shorter than the first band have no ratio that means anything and pass.
 
 Defined cases: null and empty texts have no words, so the base rule fails them.
@@ -35,6 +38,7 @@ class Bands:
     whole: tuple[tuple[int, float, float], ...] = ((64, 0.25, 1.30), (256, 0.25, 0.90), (1024, 0.22, 0.72), (8192, 0.20, 0.70))
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.20, 0.72)
+    fine_bytes: int = 1024
     max_bad_chunks: float = 0.34
     level: int = field(default=3)
 
@@ -44,6 +48,25 @@ class Bands:
                 return not low <= ratio <= high
         return False
 
+    def bad_share(self, text: bytes, ratio_of) -> float:
+        """The greater share of bad chunks of the two sizes."""
+        shares = [0.0]
+        for size in (self.chunk_bytes, self.fine_bytes):
+            ratios = [ratio_of(c) for c in chunks(text, size)]
+            if ratios:
+                low, high = self.chunk
+                bad = [not low <= r <= high if size == self.chunk_bytes else self.outside(size, r) for r in ratios]
+                shares.append(sum(bad) / len(bad))
+        return max(shares)
+
+
+def chunks(text: bytes, size: int) -> list[bytes]:
+    """Chunks of one size that cover the text; the last one ends with it. None if it is shorter."""
+    starts = list(range(0, len(text) - size + 1, size))
+    if starts and len(text) % size:
+        starts.append(len(text) - size)
+    return [text[i : i + size] for i in starts]
+
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text.
@@ -80,9 +103,7 @@ def judge(docs: DataFrame, bands: Bands | None = None, id_col: str = "doc_id", t
             counts = base_counts(text)
             failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
             ratio = len(packer.compress(text)) / len(text) if text else 1.0
-            chunks = [text[i : i + bands.chunk_bytes] for i in range(0, len(text), bands.chunk_bytes)]
-            full = [c for c in chunks if len(c) == bands.chunk_bytes]
-            bad = sum(not bands.chunk[0] <= len(packer.compress(c)) / len(c) <= bands.chunk[1] for c in full) / len(full) if full else 0.0
+            bad = bands.bad_share(text, lambda c: len(packer.compress(c)) / len(c))
             kept = not failed and not bands.outside(len(text), ratio) and bad <= bands.max_bad_chunks
             for column, value in zip(columns, (*counts, failed, kept, ratio, bad), strict=True):
                 column.append(value)

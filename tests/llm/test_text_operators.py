@@ -103,6 +103,16 @@ def test_chunks_cover_the_whole_text(spark):
     assert quality.chunks(text, 1024) == [text[:1024], text[256:]] and quality.chunks(text[:1024], 1024) == [text[:1024]] and quality.chunks(text, 4096) == []
 
 
+def test_more_blocks_than_one_plan_holds(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", 3)
+    items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(12)]
+    texts = [*ODD, items[0][1], items[7][1] + " x " + items[11][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: (n, h, len(f)) for i, n, h, f in brute.hits(list(enumerate(texts)), items)}
+    got = decontam.item_digests(decontam.find_matches(frame(spark, texts), bench, block_bytes=75)).collect()
+    assert len(got) == len(texts) + 1 and all((r["n_words"], r["n_hit"], r["n_items"]) == want[r["doc_id"]] for r in got)
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(9)
     words = ["ab", "Cd", "é", "x1", "zz"]

@@ -182,13 +182,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     items = pick(benchmark, "item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total, n = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n_blocks = max(1, -(-int(total + 16 * n) * 5 // (4 * block_bytes)))
-    if n_blocks > MAX_BLOCKS:
-        raise ValueError(f"{n_blocks} benchmark blocks in one pass; split the benchmark or raise block_bytes")
     out = pick(docs, id_col, text_col).select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
         F.lit(None).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast(f"array<{MATCH}>").alias("matches"),
     )
     for block in range(n_blocks):
+        if block and block % MAX_BLOCKS == 0:
+            out = cut(out)
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
         rows = [(int(r[0]), r[1].encode()) for r in part.orderBy("item_id", "text").collect()]
         shared = checked_broadcast(spark, rows, sum(len(t) for _, t in rows), 4 * block_bytes)

@@ -79,6 +79,9 @@ class Graph:
     def topological_levels(self, elements: DataFrame | None = None) -> DataFrame:
         return dag.topological_levels(self.edges, elements if elements is not None else self.vertices)
 
+    def topological_order(self, elements: DataFrame | None = None) -> DataFrame:
+        return dag.topological_order(self.edges, elements if elements is not None else self.vertices)
+
     def longest_path(self, elements: DataFrame | None = None) -> DataFrame:
         return dag.longest_path(self.edges, elements if elements is not None else self.vertices)
 

@@ -1,9 +1,10 @@
 """PageRank over graphs and hypergraphs.
 
 r' = d A(r) + ((1 - d) + d * dangling) t, from r = t. Dangling rank goes back
-along the teleport vector t. One iteration is a join with the shares on the
-source, a sum by target, and one small aggregate of the cut result that yields
-both the L1 delta and the next dangling mass.
+along the teleport vector t. The shares are laid out once by source, a hub's in
+several parts, and stay where they are. One iteration deals the ranks to them,
+sums what they give by target, and takes one small aggregate of the cut result
+that yields both the L1 delta and the next dangling mass.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from weftgraph.errors import NonConvergedError, PageRankError
 from weftgraph.session import cut
 
 
+#: A source with more edges than this, or than half a partition of all edges, is split.
+HUB_EDGES = 10_000
+
+
 class Ranks(NamedTuple):
     ranks: DataFrame
     iterations: int
@@ -71,22 +76,31 @@ def pagerank(edges: DataFrame, states: DataFrame, weight: bool = False, personal
         raise PageRankError("teleport weights must be finite and not negative")
     if mass <= 0:
         raise PageRankError("the teleport vector is zero")
-    sources = shares.select(F.col("src").alias("element")).distinct().withColumn("gives", F.lit(True))
-    state = teleport.join(sources, "element", "left").select("element", (F.col("t") / mass).alias("t"), F.coalesce("gives", F.lit(False)).alias("gives"))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sources = cut(shares.groupBy("src").agg(F.count("*").alias("edges")))
+    hub = max(HUB_EDGES, (sources.agg(F.sum("edges")).first()[0] or 0) // (2 * n))
+    sources = sources.select("src", F.ceil(F.col("edges") / hub).cast("int").alias("parts"))
+    hubs = sources.where("parts > 1")  # fewer than 2 n
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = shares.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", part.alias("part")).repartition(n, "src", "part").sortWithinPartitions("src", "part").persist()
+    state = teleport.join(sources.withColumnRenamed("src", "element"), "element", "left").select("element", (F.col("t") / mass).alias("t"), F.coalesce("parts", F.lit(0)).alias("parts"))
     cur = cut(state.withColumn("rank", F.col("t")))
-    dangling = cur.agg(F.sum(F.when(~F.col("gives"), F.col("rank")).otherwise(0.0))).first()[0]
+    lost = F.sum(F.when(F.col("parts") == 0, F.col("rank")).otherwise(0.0))
+    dangling = cur.agg(lost).first()[0]
     delta = math.inf
     for i in range(1, max_iterations + 1):
-        got = shares.join(cur.select(F.col("element").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("element")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        giving = cur.where("parts > 0").select(F.col("element").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        got = placed.join(giving, ["src", "part"]).groupBy(F.col("dst").alias("element")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = damping * F.coalesce("got", F.lit(0.0)) + ((1 - damping) + damping * dangling) * F.col("t")
-        new = cut(cur.withColumnRenamed("rank", "old").join(got, "element", "left").select("element", "t", "gives", rank.alias("rank"), F.abs(rank - F.col("old")).alias("moved")))
-        delta, dangling = new.agg(F.sum("moved"), F.sum(F.when(~F.col("gives"), F.col("rank")).otherwise(0.0))).first()
+        new = cut(cur.withColumnRenamed("rank", "old").join(got, "element", "left").select("element", "t", "parts", rank.alias("rank"), F.abs(rank - F.col("old")).alias("moved")))
+        delta, dangling = new.agg(F.sum("moved"), lost).first()
         cur = new.drop("moved")
         if not fixed and delta <= tolerance:
-            return Ranks(cur.select("element", "rank"), i, delta)
-    if not fixed:
+            break
+    placed.unpersist()
+    if not fixed and delta > tolerance:
         raise NonConvergedError(f"delta {delta} after {max_iterations} iterations")
-    return Ranks(cur.select("element", "rank"), max_iterations, delta)
+    return Ranks(cur.select("element", "rank"), i, delta)
 
 
 class HyperRanks(NamedTuple):

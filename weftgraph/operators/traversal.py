@@ -1,8 +1,11 @@
 """Breadth-first traversals, walks and hop distances.
 
 Edges are (edge, src, dst); a traversal is a driver loop of one join a level,
-cut by a reliable checkpoint. First-discovery order needs a rank for each level
-and is only computed when it is asked for or when a limit cuts inside a level.
+cut by a reliable checkpoint. The moves are laid out once, by node and by a salt
+that splits the edges of a hub, and stay where they are: a frontier of measured
+small size is broadcast to them, a larger one is dealt to them, once a salt.
+First-discovery order needs a rank for each level and is only computed when it is
+asked for or when a limit cuts inside a level.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from weftgraph.errors import UnknownElementError, UnsupportedError
 from weftgraph.session import cut, numbered
 
 DIRECTIONS = ("outgoing", "incoming", "both")
+#: Rows that are broadcast at most, two numbers each; their count is known before.
+BROADCAST_ROWS = 500_000
+SALTS = 8
 
 
 class Subgraph(NamedTuple):
@@ -35,6 +41,20 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "outgoing" else back if direction == "incoming" else out.unionByName(back)
 
 
+def layout(edges: DataFrame, direction: str) -> DataFrame:
+    """steps() with a salt, partitioned by node and salt and kept; it can be made again from the edges."""
+    salt = F.pmod(F.xxhash64("edge"), F.lit(SALTS)).cast("int").alias("salt")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return steps(edges, direction).select("*", salt).repartition(n, "at", "salt").sortWithinPartitions("at", "salt").persist()
+
+
+def ahead(frontier: DataFrame, size: int, moves: DataFrame) -> DataFrame:
+    """frontier (at and more) joined with the moves of a layout, which do not move."""
+    if size <= BROADCAST_ROWS:
+        return moves.join(F.broadcast(frontier), "at")
+    return moves.join(frontier.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["at", "salt"])
+
+
 def seed_frame(edges: DataFrame, seeds: DataFrame | list[int]) -> DataFrame:
     """(element, rank): seeds without repetition, in their order."""
     if isinstance(seeds, DataFrame):
@@ -43,47 +63,53 @@ def seed_frame(edges: DataFrame, seeds: DataFrame | list[int]) -> DataFrame:
     return edges.sparkSession.createDataFrame([(e, i) for i, e in enumerate(kept)], "element long, rank long")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame | list[int], max_depth: int | None = None, direction: str = "outgoing", include_seeds: bool = True, limit: int | None = None, ordered: bool = False, on_level: Callable[[int, DataFrame], bool | None] | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame | list[int], max_depth: int | None = None, direction: str = "outgoing", include_seeds: bool = True, limit: int | None = None, ordered: bool = False, on_level: Callable[[int, DataFrame], bool | None] | None = None, most: int | None = None) -> DataFrame:
     """element, depth, and rank (first-discovery order) if ordered or limited.
 
     Seeds count as visited whether or not they are returned. on_level sees each
     frontier and stops the traversal by returning False. A limit cuts inside the
-    order and also ends the loop.
+    order and also ends the loop; most does so without an order, and takes the
+    smallest elements of the level that it cuts.
     """
     ordered = ordered or limit is not None
-    moves = steps(edges, direction)
+    enough = limit if limit is not None else most
     start = seed_frame(edges, seeds).select("element", F.lit(0).alias("depth"), "rank")
-    if limit == 0:
-        return start.limit(0)
+    if enough == 0:
+        return start.limit(0) if ordered else start.limit(0).drop("rank")
+    moves = layout(edges, direction)
     frontier = visited = cut(start)
-    found = start.count()
+    n = found = start.count()
     total = found if include_seeds else 0
-    next_rank = found
     depth = 0
-    while (max_depth is None or depth < max_depth) and (limit is None or total < limit):
+    while (max_depth is None or depth < max_depth) and (enough is None or total < enough):
         if on_level is not None and on_level(depth, frontier) is False:
             break
         depth += 1
-        ahead = frontier.select(F.col("element").alias("at"), F.col("rank").alias("parent")).join(moves, "at")
+        met = ahead(frontier.select(F.col("element").alias("at"), F.col("rank").alias("parent")), n, moves)
         if ordered:
-            new = ahead.groupBy(F.col("to").alias("element")).agg(F.min(F.struct("parent", "side", "edge")).alias("first"))
+            new = met.groupBy(F.col("to").alias("element")).agg(F.min(F.struct("parent", "side", "edge")).alias("first"))
         else:
-            new = ahead.select(F.col("to").alias("element")).distinct()
-        new = new.join(visited.select("element"), "element", "left_anti")
+            new = met.select(F.col("to").alias("element")).distinct()
+        seen = visited.select("element")
+        new = new.join(F.broadcast(seen) if found <= BROADCAST_ROWS else seen, "element", "left_anti")
         if ordered:
-            new = numbered(new, ["first"], "rank", next_rank).drop("first")
+            new = numbered(new, ["first"], "rank", found).drop("first")
         else:
             new = new.withColumn("rank", F.lit(0).cast("long"))
         frontier = cut(new.select("element", F.lit(depth).alias("depth"), "rank"))
         n = frontier.count()
         if not n:
             break
-        total, next_rank = total + n, next_rank + n
+        total, found = total + n, found + n
         visited = visited.unionByName(frontier)
         if depth % 8 == 0:
             visited = cut(visited)
+    moves.unpersist()
     out = visited if include_seeds else visited.where("depth > 0")
-    out = out.orderBy("rank").limit(limit) if limit is not None else out
+    if limit is not None:
+        return out.orderBy("rank").limit(limit)
+    if most is not None and total > most:
+        out = out.orderBy("depth", "element").limit(most)
     return out if ordered else out.drop("rank")
 
 

@@ -51,3 +51,7 @@ class SyncError(GraphError):
 
 class RegistrationError(GraphError):
     """A relational registration that is not valid."""
+
+
+class CommitConflictError(GraphError):
+    """Another writer published the version first."""

@@ -1,20 +1,25 @@
 """GraphStore: immutable versions of a property graph with roled incidences.
 
-A store is six DataFrames and a catalog. Writing methods return a new store, so
-whoever holds an old one keeps reading it unchanged.
+A store is six DataFrames, a catalog and the highest ids ever given out. Writing
+methods return a new store, so whoever holds an old one keeps reading it unchanged;
+a method that changes nothing returns the store itself. In a folder each version
+has tables of its own, and the file that names it is created last and only once, so
+a version is there as a whole or not at all.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass, replace
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.catalog import ELEMENT, FAMILIES, INCIDENCE, RELATION, Catalog, Index, Projection, PropertyKey
-from weftgraph.errors import InvalidProjectionError, PropertyTypeError, UnknownElementError, UnsupportedError
+from weftgraph.errors import CommitConflictError, InvalidProjectionError, PropertyTypeError, UnknownElementError, UnsupportedError
 from weftgraph.functions.keys import show_value
 from weftgraph.graph import Graph, HyperGraph
 from weftgraph.operators import projection
@@ -40,6 +45,8 @@ class GraphStore:
     relation_labels: DataFrame
     properties: DataFrame
     catalog: Catalog
+    #: The highest id ever given out by table; a table that is not there has its highest id.
+    marks: Mapping[str, int] = field(default_factory=dict)
 
     # -- versions -----------------------------------------------------------------
     @classmethod
@@ -48,30 +55,66 @@ class GraphStore:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> GraphStore:
-        """A new, empty store in a folder that does not exist yet."""
+        """A new, empty store in a folder that has none yet."""
         store = cls.empty(spark)
-        store.save(path, "errorifexists")
+        store._publish(path, 0)
         return store
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> GraphStore:
-        """The last version written to a folder; its tables and its catalog."""
-        text = "\n".join(r[0] for r in spark.read.text(f"{path}/catalog").orderBy("value").collect())
-        raw = json.loads(text)
+    def open(cls, spark: SparkSession, path: str, version: int | None = None) -> GraphStore:
+        """The last version written to a folder, or the one with a number."""
+        known = versions(spark, path)
+        if not known or version is not None and version not in known:
+            raise UnknownElementError(f"version {version} of {path}")
+        version = known[-1] if version is None else version
+        raw = json.loads("".join(r[0] for r in spark.read.text(f"{path}/versions/{version:012d}").collect()))
+        tables, raw = raw["tables"], raw["catalog"] | {"marks": raw["marks"]}
         catalog = Catalog(
             raw["roles"], raw["labels"], raw["relation_types"],
             {k: PropertyKey(**v) for k, v in raw["property_keys"].items()},
             {k: Projection(**{f: tuple(x) if isinstance(x, list) else x for f, x in v.items()}) for k, v in raw["projections"].items()},
             {k: Index(**{f: tuple(x) if isinstance(x, list) else x for f, x in v.items()}) for k, v in raw["indexes"].items()},
         )
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in SCHEMAS], catalog)
+        return cls(*[spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{tables}/{n}") for n in SCHEMAS], catalog, raw["marks"])
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        """Write all tables and the catalog; overwriting what this store reads needs another path."""
-        for name in SCHEMAS:
-            getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
+    def save(self, path: str) -> int:
+        """Write a new version to a folder and return its number; older versions stay readable."""
+        known = versions(self.elements.sparkSession, path)
+        return self._publish(path, known[-1] + 1 if known else 0)
+
+    def _publish(self, path: str, version: int) -> int:
         spark = self.elements.sparkSession
-        spark.createDataFrame([(json.dumps(asdict(self.catalog)),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/catalog")
+        tables = f"tables/{version:012d}-{uuid.uuid4().hex[:12]}"  # two writers never share a folder
+        for name in SCHEMAS:
+            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{tables}/{name}")
+        marks = {name: self._mark(name) for name in IDS}
+        text = json.dumps({"tables": tables, "catalog": asdict(self.catalog), "marks": marks})
+        system, target = _file(spark, f"{path}/versions/{version:012d}")
+        try:
+            out = system.create(target, False)
+        except Exception as taken:
+            raise CommitConflictError(f"version {version} of {path} exists already") from taken
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return version
+
+    @classmethod
+    def write(cls, spark: SparkSession, path: str, change: Callable[[GraphStore], GraphStore]) -> Outcome:
+        """Apply a change to the last version and publish what it returns.
+
+        An error in the change leaves the folder as it was. A change that returns the
+        store it was given publishes nothing. Where another writer was first, the
+        commit is refused.
+        """
+        known = versions(spark, path)
+        store = cls.open(spark, path)
+        new = change(store)
+        if new is store:
+            return Outcome(store, known[-1], True)
+        version = new._publish(path, known[-1] + 1)
+        return Outcome(cls.open(spark, path, version), version, False)
 
     def compact(self) -> GraphStore:
         """The same version with its lineage folded into written tables."""
@@ -118,19 +161,24 @@ class GraphStore:
 
     def element(self, element: int) -> DataFrame:
         """element_id, labels, properties (name to text); no row if it is not visible."""
-        return self._record(ELEMENT, self.elements.where(F.col("element_id") == element), self.element_labels)
+        return self._one(ELEMENT, element)
 
     def relation(self, relation: int) -> DataFrame:
-        return self._record(RELATION, self.relations.where(F.col("relation_id") == relation), self.relation_labels)
+        return self._one(RELATION, relation)
 
     def incidence(self, incidence: int) -> DataFrame:
-        return self._record(INCIDENCE, self.incidences.where(F.col("incidence_id") == incidence), None)
+        return self._one(INCIDENCE, incidence)
 
-    def _record(self, kind: int, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        key = list(IDS.values())[kind]
+    def _one(self, kind: int, subject: int) -> DataFrame:
+        """One record; the filters on its id reach the scans of all tables."""
+        name = list(IDS)[kind]
+        own = lambda df: df.where(F.col(IDS[name]) == subject)
+        store = replace(self, **{name: own(getattr(self, name))}, properties=self.properties.where(F.col("subject_id") == subject))
+        labels = (self.element_labels, self.relation_labels, None)[kind]
+        rows, key = getattr(store, name), IDS[name]
         if labels is not None:
-            rows = rows.join(labels.groupBy(key).agg(F.array_sort(F.collect_set("label_id")).alias("labels")), key, "left")
-        return rows.join(self.property_bags(kind).withColumnRenamed("subject_id", key), key, "left")
+            rows = rows.join(own(labels).groupBy(key).agg(F.array_sort(F.collect_set("label_id")).alias("labels")), key, "left")
+        return rows.join(store.property_bags(kind).withColumnRenamed("subject_id", key), key, "left")
 
     def property_bags(self, kind: int) -> DataFrame:
         """subject_id, properties: a map from key name to the text of the value."""
@@ -265,19 +313,30 @@ class GraphStore:
     def with_catalog(self, catalog: Catalog) -> GraphStore:
         return replace(self, catalog=catalog)
 
-    def _next(self, name: str) -> int:
-        return (getattr(self, name).agg(F.max(IDS[name])).first()[0] or 0) + 1
+    def _mark(self, name: str) -> int:
+        """The highest id of a table that was ever given out; removed ones count."""
+        if name in self.marks:
+            return self.marks[name]
+        return getattr(self, name).agg(F.max(IDS[name])).first()[0] or 0
+
+    def _minted(self, name: str, rows: DataFrame, order: Sequence[str]) -> tuple[GraphStore, DataFrame]:
+        """The rows with new ids in the order of the columns, and a store with them."""
+        last = self._mark(name)
+        minted = cut(numbered(rows, list(order), IDS[name], last + 1))
+        n = minted.count()
+        if not n:
+            return self, minted
+        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        return replace(self, **{name: getattr(self, name).unionByName(minted.select(*columns))}, marks={**self.marks, name: last + n}), minted
 
     def add_elements(self, rows: DataFrame, order: Sequence[str]) -> tuple[GraphStore, DataFrame]:
         """New elements, one for each row in the order of the columns; also the rows with their element_id."""
-        minted = cut(numbered(rows, list(order), "element_id", self._next("elements")))
-        return replace(self, elements=self.elements.unionByName(minted.select("element_id"))), minted
+        return self._minted("elements", rows, order)
 
     def add_relations(self, rows: DataFrame, order: Sequence[str]) -> tuple[GraphStore, DataFrame]:
         """rows may have relation_type_id."""
         rows = rows if "relation_type_id" in rows.columns else rows.withColumn("relation_type_id", F.lit(None).cast("long"))
-        minted = cut(numbered(rows, list(order), "relation_id", self._next("relations")))
-        return replace(self, relations=self.relations.unionByName(minted.select("relation_id", "relation_type_id"))), minted
+        return self._minted("relations", rows, order)
 
     def add_incidences(self, rows: DataFrame) -> GraphStore:
         """rows: relation_id, element_id, role_id; all must be visible or registered."""
@@ -287,24 +346,39 @@ class GraphStore:
         for key, of in (("relation_id", self.relations), ("element_id", self.elements)):
             if not rows.join(of, key, "left_anti").isEmpty():
                 raise UnknownElementError(key)
-        minted = numbered(rows, ["relation_id", "role_id", "element_id"], "incidence_id", self._next("incidences"))
-        return replace(self, incidences=self.incidences.unionByName(minted.select(*[c.split()[0] for c in SCHEMAS["incidences"].split(", ")])))
+        return self._minted("incidences", rows.select("relation_id", "element_id", "role_id"), ["relation_id", "role_id", "element_id"])[0]
 
     def set_relation_type(self, rows: DataFrame) -> GraphStore:
-        """rows: relation_id, relation_type_id; they replace what was there."""
-        new = rows.select("relation_id", F.col("relation_type_id").alias("t"), F.lit(True).alias("hit"))
-        kept = self.relations.join(new, "relation_id", "left").select("relation_id", F.when(F.col("hit"), F.col("t")).otherwise(F.col("relation_type_id")).alias("relation_type_id"))
-        return replace(self, relations=kept)
+        """rows: relation_id, relation_type_id [, seq]; they replace what was there.
+
+        Of several rows for one relation the last by seq wins; without seq, the
+        greatest type. A relation that is not visible is an error.
+        """
+        new = _last(rows, "relation_id", "relation_type_id").toDF("relation_id", "t").withColumn("hit", F.lit(True))
+        if not new.join(self.relations, "relation_id", "left_anti").isEmpty():
+            raise UnknownElementError("relation_id")
+        joined = self.relations.join(new, "relation_id", "left")
+        if joined.where(F.col("hit") & ~F.col("t").eqNullSafe(F.col("relation_type_id"))).isEmpty():
+            return self
+        return replace(self, relations=joined.select("relation_id", F.when(F.col("hit"), F.col("t")).otherwise(F.col("relation_type_id")).alias("relation_type_id")))
 
     def add_labels(self, kind: int, rows: DataFrame) -> GraphStore:
         """rows: element_id or relation_id, and label_id; incidences carry no labels."""
         if kind == INCIDENCE:
             raise UnsupportedError("incidences carry no labels")
         name = ("element_labels", "relation_labels")[kind]
-        return replace(self, **{name: getattr(self, name).unionByName(rows).distinct()})
+        key = list(IDS.values())[kind]
+        if not rows.join(getattr(self, list(IDS)[kind]), key, "left_anti").isEmpty() or not rows.where(~F.col("label_id").isin(list(self.catalog.labels.values()))).isEmpty():
+            raise UnknownElementError("subject or label")
+        new = cut(rows.select(key, "label_id").distinct().join(getattr(self, name), [key, "label_id"], "left_anti"))
+        return self if new.isEmpty() else replace(self, **{name: getattr(self, name).unionByName(new)})
 
     def set_properties(self, key: str, rows: DataFrame) -> GraphStore:
-        """rows: subject_id, value. Subjects must be visible; what is there already stays untouched."""
+        """rows: subject_id, value [, seq]. Subjects must be visible.
+
+        Of several rows for one subject the last by seq wins; without seq, the
+        greatest value. A value that is there already is left alone.
+        """
         k = self.catalog.need("property_keys", key)
         kind = FAMILIES[k.family]
         name = list(IDS)[kind]
@@ -314,11 +388,17 @@ class GraphStore:
             raise PropertyTypeError(f"{key} is {k.type}, not {got}")
         if not rows.join(getattr(self, name).select(F.col(IDS[name]).alias("subject_id")), "subject_id", "left_anti").isEmpty():
             raise UnknownElementError(f"subject of {key}")
+        rows = _last(rows, "subject_id", "value")
         columns = {c: F.lit(None).cast(t) for c, t in (("bool_value", "boolean"), ("int_value", "long"), ("text_value", "string"))}
         columns[k.column] = F.col("value").cast(want)
         new = rows.select(F.lit(kind).alias("subject_kind"), "subject_id", F.lit(k.key_id).cast("long").alias("key_id"), *[v.alias(c) for c, v in columns.items()])
         ids = ["subject_kind", "subject_id", "key_id"]
-        return replace(self, properties=self.properties.join(new.select(*ids), ids, "left_anti").unionByName(new))
+        # An anti-join finds no nulls equal, so only the column of the key's type is compared.
+        same = self.properties.where(F.col("key_id") == k.key_id).select(*ids, k.column)
+        new = cut(new.join(same, [*ids, k.column], "left_anti"))
+        if new.isEmpty():
+            return self
+        return replace(self, properties=self.properties.join(new.select(*ids), ids, "left_anti").unionByName(new.select(*self.properties.columns)))
 
     def unset_properties(self, key: str, subjects: DataFrame) -> GraphStore:
         k = self.catalog.need("property_keys", key)
@@ -345,7 +425,8 @@ class GraphStore:
         for k, df in gone.items():
             part = df.select(F.lit(k).alias("subject_kind"), "subject_id")
             dead = part if dead is None else dead.unionByName(part)
-        return replace(self, properties=self.properties.join(dead, ["subject_kind", "subject_id"], "left_anti"), **new)
+        marks = {n: self._mark(n) for n in IDS}  # ids that go are never given out again
+        return replace(self, properties=self.properties.join(dead, ["subject_kind", "subject_id"], "left_anti"), marks=marks, **new)
 
     def upsert_elements(self, index: str, values: DataFrame) -> tuple[GraphStore, DataFrame]:
         """(value, element_id): the element that has the value, or a new one that gets it."""
@@ -400,6 +481,33 @@ class GraphStore:
         return language.explain(self, text)
 
 
+class Outcome(NamedTuple):
+    """What a write left behind: the store now current, its version, and whether nothing was to be written."""
+
+    store: GraphStore
+    version: int
+    empty: bool
+
+
+def _last(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value), one row for each key: the last by seq, or the greatest value."""
+    last = F.max_by(value, F.struct("seq", value)) if "seq" in rows.columns else F.max(value)
+    return rows.groupBy(key).agg(last.alias(value))
+
+
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of a place that every node sees."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a folder, ascending."""
+    system, target = _file(spark, f"{path}/versions")
+    return sorted(int(s.getPath().getName()) for s in system.listStatus(target) if s.getPath().getName().isdigit()) if system.exists(target) else []
+
+
 def merged(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Base rows with a delta over them: the delta has the same columns and `gone`; its rows win."""
     kept = base.join(delta.select(*keys), list(keys), "left_anti")

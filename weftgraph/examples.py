@@ -91,17 +91,31 @@ def order_hyper(spark: SparkSession, sf_dir: str) -> GraphStore:
     return GraphStore(incidences.select("element_id").distinct(), relations.select("relation_id", "relation_type_id"), incidences, empty.element_labels, empty.relation_labels, empty.properties, catalog)
 
 
-def activity(spark: SparkSession, sf_dir: str, below: int | None = None) -> Graph:
+def activity(spark: SparkSession, sf_dir: str) -> Graph:
     """user_id -> k of each event's props, one edge for each event; the value is its weight."""
-    events = table(spark, sf_dir, "events")
-    events = events if below is None else events.where(F.col("event_id") < below)
-    edges = events.select(F.col("event_id").alias("edge"), F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"), F.col("value").alias("weight"))
+    edges = table(spark, sf_dir, "events").select(F.col("event_id").alias("edge"), F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"), F.col("value").alias("weight"))
     return Graph.from_edges(edges)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a change log: sequence, action_type (1, 2, 3 or 5, and 4 once), arg0, arg1."""
+    """Events as a change log: sequence, action_type (1, 2, 3 or 5, and 4 once), arg0, arg1.
+
+    Of each ten events six add an edge, two remove one, and two tombstone: users of
+    every third number as nodes, else the edge whose number is the user's.
+    """
     k = F.get_json_object("props", "$.k").cast("long")
     n = F.col("event_id") % 10
-    action = F.when(F.col("event_id") == 40, 4).when(n < 6, 1).when(n < 8, 5).when(n == 8, 2).otherwise(3)
+    action = F.when(F.col("event_id") == 40, 4).when(n < 6, 1).when(n < 8, 5).when((n == 9) & (F.col("user_id") % 3 == 0), 3).otherwise(2)
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), action.alias("action_type"), F.col("user_id").alias("arg0"), F.when(action.isin(1, 5), k).alias("arg1"))
+
+
+def seeded_graph(spark: SparkSession, n: int = 10_000, degree: int = 3, seed: int = 42) -> Graph:
+    """A graph of n nodes with hubs, the same for the same seed; every pair goes both ways.
+
+    Node i draws degree partners among all nodes, its hash raised to a power, so that
+    low numbers are drawn more often. It is made on the executors, at any size.
+    """
+    draws = spark.range(n * degree).select(F.col("id").alias("draw"), F.floor(F.col("id") / degree).alias("a"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
+    pairs = draws.select("draw", "a", F.floor(F.pow("u", F.lit(3.0)) * n).cast("long").alias("b")).where("a <> b")
+    ends = F.explode(F.array(F.struct((F.col("draw") * 2).alias("edge"), F.col("a").alias("src"), F.col("b").alias("dst")), F.struct((F.col("draw") * 2 + 1).alias("edge"), F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return Graph(pairs.select(ends.alias("e")).select("e.*"), spark.range(n).select(F.col("id").alias("element_id")))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import examples as X
-from weftgraph.operators.components import members
+from weftgraph.operators.components import members, sizes
 from weftgraph.session import numbered
 from weftgraph.sources import layers
-from weftgraph.sources.relational import Overlay, Registry, RelationalGraph, dense_nodes, edge_scan, overlay_state
+from weftgraph.sources.relational import Registry, RelationalGraph, dense_nodes, edge_scan, overlay_state
 from weftgraph.store import merged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,9 +38,8 @@ side AS (
   UNION ALL SELECT DISTINCT l_orderkey, l_orderkey*16777216 + l_partkey + 1, {T}*5 + l_partkey, 'target' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"""
 
 
-def activity_sql(below: int | None = None) -> str:
-    where = "" if below is None else f" WHERE event_id < {below}"
-    return f"act AS (SELECT event_id AS edge, user_id AS src, json_extract_string(props, '$.k')::BIGINT AS dst, value AS weight FROM events{where}), node AS (SELECT DISTINCT unnest([src, dst]) AS id FROM act)"
+def activity_sql() -> str:
+    return "act AS (SELECT event_id AS edge, user_id AS src, json_extract_string(props, '$.k')::BIGINT AS dst, value AS weight FROM events), node AS (SELECT DISTINCT unnest([src, dst]) AS id FROM act)"
 
 
 def query(sql: str | None = None):
@@ -208,15 +207,15 @@ def star_expansion(spark, d):
     return X.order_hyper(spark, d).hypergraph("orders").star_expansion()
 
 
-@query(f"""WITH {activity_sql(150)}, p AS (SELECT src AS id, edge*2 AS p FROM act UNION ALL SELECT dst, edge*2 + 1 FROM act)
+@query(f"""WITH {activity_sql()}, p AS (SELECT src AS id, edge*2 AS p FROM act UNION ALL SELECT dst, edge*2 + 1 FROM act)
 SELECT id AS element_id, row_number() OVER (ORDER BY min(p)) - 1 AS local_idx FROM p GROUP BY id""")
 def local_ids(spark, d):
-    return X.activity(spark, d, 150).local_ids()
+    return X.activity(spark, d).local_ids()
 
 
 # -- traversals -------------------------------------------------------------------------------
 def reach(direction: str, seeds: str, depth: int, keep_seeds: bool = True) -> str:
-    moves = {"out": "SELECT src AS a, dst AS b FROM act", "in": "SELECT dst AS a, src AS b FROM act"}
+    moves = {"out": "SELECT DISTINCT src AS a, dst AS b FROM act", "in": "SELECT DISTINCT dst AS a, src AS b FROM act"}
     both = " UNION ".join(moves.values())
     return f"""mv AS ({moves.get(direction, both)}),
 r AS (SELECT unnest({seeds})::BIGINT AS id, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN mv ON a = id WHERE depth < {depth}),
@@ -233,33 +232,33 @@ def _ends(graph) -> list[int]:
     return list(graph.edges.agg(F.min("src"), F.max("src")).first())
 
 
-@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('out', ENDS, 3)}")
+@query(f"WITH RECURSIVE {activity_sql()}, {reach('out', ENDS, 3)}")
 def bfs_out(spark, d):
-    g = X.activity(spark, d, 600)
+    g = X.activity(spark, d)
     return g.bfs_bounded(_ends(g), 3, include_seeds=True)
 
 
-@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('in', ENDS, 3, False)}")
+@query(f"WITH RECURSIVE {activity_sql()}, {reach('in', ENDS, 3, False)}")
 def bfs_in(spark, d):
-    g = X.activity(spark, d, 600)
+    g = X.activity(spark, d)
     return g.bfs_bounded(_ends(g), 3, direction="incoming")
 
 
-@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('both', FIRST, 2)}")
+@query(f"WITH RECURSIVE {activity_sql()}, {reach('both', FIRST, 2)}")
 def bfs_both(spark, d):
-    g = X.activity(spark, d, 600)
+    g = X.activity(spark, d)
     return g.bfs_bounded(_ends(g)[:1], 2, include_seeds=True, direction="both")
 
 
-@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('both', ENDS, 2, False)}")
+@query(f"WITH RECURSIVE {activity_sql()}, {reach('both', ENDS, 2, False)}")
 def bfs_multi_seed(spark, d):
-    g = X.activity(spark, d, 600)
+    g = X.activity(spark, d)
     return g.bfs_bounded(_ends(g) * 2, 2, direction="both")
 
 
-@query(f"WITH RECURSIVE {activity_sql(600)}, {reach('out', FIRST, 60)}".replace("AS depth FROM r GROUP", "AS hops FROM r GROUP"))
+@query(f"WITH RECURSIVE {activity_sql()}, {reach('out', FIRST, 60)}".replace("AS depth FROM r GROUP", "AS hops FROM r GROUP"))
 def sssp_hops(spark, d):
-    g = X.activity(spark, d, 600)
+    g = X.activity(spark, d)
     return g.hops(_ends(g)[0])
 
 
@@ -269,10 +268,10 @@ def supplier_two_hops(spark, d):
     return X.supplies(spark, d).bfs_bounded([4 * T + 1], 2, include_seeds=True, direction="both")
 
 
-@query(f"""WITH RECURSIVE {activity_sql(600)}, walked AS ({reach('out', FIRST, 2).replace('mv AS', 'WITH RECURSIVE mv AS')})
+@query(f"""WITH RECURSIVE {activity_sql()}, walked AS ({reach('out', FIRST, 2).replace('mv AS', 'WITH RECURSIVE mv AS')})
 SELECT edge AS relation_id, src AS source, dst AS target FROM act WHERE src IN (SELECT element FROM walked) AND dst IN (SELECT element FROM walked)""")
 def walk_internal_edges(spark, d):
-    g = X.activity(spark, d, 600)
+    g = X.activity(spark, d)
     return g.walk(_ends(g)[:1], 2, include_start=True).edges
 
 
@@ -287,22 +286,22 @@ def neighbors_statement(spark, d):
 
 
 # -- components and orders ----------------------------------------------------------------------
-CLOSURE = "mv AS (SELECT src AS a, dst AS b FROM act{back}), cl AS (SELECT id AS s, id AS t FROM node UNION SELECT s, b FROM cl JOIN mv ON a = t)"
+CLOSURE = "mv AS (SELECT DISTINCT src AS a, dst AS b FROM act{back}), cl AS (SELECT id AS s, id AS t FROM node UNION SELECT s, b FROM cl JOIN mv ON a = t)"
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {CLOSURE.format(back=' UNION SELECT dst, src FROM act')} SELECT s AS element, min(t) AS component FROM cl GROUP BY s")
+@query(f"WITH RECURSIVE {activity_sql()}, {CLOSURE.format(back=' UNION SELECT dst, src FROM act')} SELECT s AS element, min(t) AS component FROM cl GROUP BY s")
 def wcc(spark, d):
-    return X.activity(spark, d, 150).weak_components()
+    return X.activity(spark, d).weak_components()
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {CLOSURE.format(back=' UNION SELECT dst, src FROM act')}, c AS (SELECT s, min(t) AS component FROM cl GROUP BY s) SELECT component, count(*) AS size FROM c GROUP BY component")
+@query(f"WITH RECURSIVE {activity_sql()}, {CLOSURE.format(back=' UNION SELECT dst, src FROM act')}, c AS (SELECT s, min(t) AS component FROM cl GROUP BY s) SELECT component, count(*) AS size FROM c GROUP BY component")
 def component_members(spark, d):
-    return members(X.activity(spark, d, 150).weak_components())
+    return sizes(X.activity(spark, d).weak_components())
 
 
-@query(f"WITH RECURSIVE {activity_sql(150)}, {CLOSURE.format(back='')} SELECT a.s AS element, min(a.t) AS component FROM cl a JOIN cl b ON a.s = b.t AND a.t = b.s GROUP BY a.s")
+@query(f"WITH RECURSIVE {activity_sql()}, {CLOSURE.format(back='')} SELECT a.s AS element, min(a.t) AS component FROM cl a JOIN cl b ON a.s = b.t AND a.t = b.s GROUP BY a.s")
 def scc(spark, d):
-    return X.activity(spark, d, 150).strong_components()
+    return X.activity(spark, d).strong_components()
 
 
 DAG = f"WITH RECURSIVE {GEO}, r AS (SELECT element_id, 0 AS level FROM geo_label UNION SELECT dst, level + 1 FROM r JOIN geo_edge ON src = element_id)"
@@ -458,11 +457,11 @@ def estimate_build(spark, d):
 
 
 LOG = """log AS (
-  SELECT event_id AS seq, CASE WHEN event_id = 40 THEN 4 WHEN event_id % 10 < 6 THEN 1 WHEN event_id % 10 < 8 THEN 5 WHEN event_id % 10 = 8 THEN 2 ELSE 3 END AS a,
+  SELECT event_id AS seq, CASE WHEN event_id = 40 THEN 4 WHEN event_id % 10 < 6 THEN 1 WHEN event_id % 10 < 8 THEN 5 WHEN event_id % 10 = 9 AND user_id % 3 = 0 THEN 3 ELSE 2 END AS a,
          user_id AS x, json_extract_string(props, '$.k')::BIGINT AS y FROM events),
 live AS (SELECT * FROM log WHERE seq > coalesce((SELECT max(seq) FROM log WHERE a = 4), -1)),
 added AS (SELECT x AS src, y AS dst, seq AS sequence FROM live i WHERE a = 1 AND NOT EXISTS (SELECT 1 FROM live r WHERE r.a = 5 AND r.x = i.x AND r.y = i.y AND r.seq > i.seq)),
-dead_e AS (SELECT DISTINCT x AS edge FROM live WHERE a = 2), dead_n AS (SELECT DISTINCT x AS node FROM live WHERE a = 3 AND x >= 50)"""
+dead_e AS (SELECT DISTINCT x AS edge FROM live WHERE a = 2), dead_n AS (SELECT DISTINCT x AS node FROM live WHERE a = 3)"""
 
 
 def _events_graph(spark, d) -> RelationalGraph:
@@ -471,9 +470,7 @@ def _events_graph(spark, d) -> RelationalGraph:
 
 
 def _with_overlay(spark, d) -> RelationalGraph:
-    o = overlay_state(X.event_log(spark, d))
-    g = _events_graph(spark, d)
-    return RelationalGraph(g.edges, g.nodes, Overlay(o.added, o.dead_edges, o.dead_nodes.where("node >= 50")))
+    return _events_graph(spark, d).with_log(X.event_log(spark, d))
 
 
 @query(f"WITH {LOG} SELECT * FROM added")
@@ -486,24 +483,29 @@ def sync_health(spark, d):
     return overlay_state(X.event_log(spark, d)).health()
 
 
+SEED = "[(SELECT min(id) FROM node WHERE id NOT IN (SELECT node FROM dead_n))]"
+
+
 def traverse_sql(more: str) -> str:
     act = f"all_e AS (SELECT edge, src, dst FROM base WHERE edge NOT IN (SELECT edge FROM dead_e){more}), act AS (SELECT * FROM all_e WHERE src NOT IN (SELECT node FROM dead_n) AND dst NOT IN (SELECT node FROM dead_n))"
-    base = activity_sql(120).split(", node AS")[0].replace("act AS", "base AS")
-    return f"WITH RECURSIVE {base}, {LOG}, {act}, {reach('out', '[4]', 3)}"
+    base = activity_sql().replace("act AS", "base AS").replace("FROM act", "FROM base")
+    return f"WITH RECURSIVE {base}, {LOG}, {act}, {reach('out', SEED, 3)}"
+
+
+def _traverse(spark, d, **more) -> DataFrame:
+    """From the smallest node that is not tombstoned."""
+    g = _with_overlay(spark, d)
+    return g.traverse([g.visible_nodes().agg(F.min("node")).first()[0]], g.config.traverse_limit, max_depth=3, ordered=False, **more)
 
 
 @query(traverse_sql(" UNION ALL SELECT 1000000000 + sequence, src, dst FROM added"))
 def traverse_overlay_aware(spark, d):
-    g = _with_overlay(spark, d)
-    g = RelationalGraph(g.edges.where("edge < 120"), g.nodes, g.overlay)
-    return g.traverse([4], max_depth=3, ordered=False)
+    return _traverse(spark, d)
 
 
 @query(traverse_sql(""))
 def traverse_base_only(spark, d):
-    g = _with_overlay(spark, d)
-    g = RelationalGraph(g.edges.where("edge < 120"), g.nodes, g.overlay)
-    return g.traverse([4], max_depth=3, ordered=False, freshness="base_only")
+    return _traverse(spark, d, freshness="base_only")
 
 
 @query(f"WITH {activity_sql()}, {LOG} SELECT id AS node FROM node WHERE id BETWEEN 30 AND 90 AND id NOT IN (SELECT node FROM dead_n) ORDER BY id LIMIT 25")

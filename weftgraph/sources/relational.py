@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.errors import RegistrationError, SyncError, UnknownElementError
@@ -43,6 +43,13 @@ class Edge:
     target_column: str
 
 
+REGISTRATIONS = {
+    "tables": "table_id int, name string, key string",
+    "edges": "edge_id int, source_table int, target_table int, name string, source_column string, target_column string",
+    "filter_columns": "table_id int, column string",
+}
+
+
 @dataclass(frozen=True)
 class Registry:
     """Registered tables, edges and filter columns; each registration gives a new registry."""
@@ -73,6 +80,32 @@ class Registry:
             raise RegistrationError(f"filter column {table}.{column}")
         return replace(self, filter_columns=(*self.filter_columns, (ids[table], valid_identifier(column))))
 
+    def rows(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The registrations as tables, to be written and read again by load()."""
+        return {
+            "tables": spark.createDataFrame([(t.table_id, t.name, t.key) for t in self.tables], REGISTRATIONS["tables"]),
+            "edges": spark.createDataFrame([(e.edge_id, e.source_table, e.target_table, e.name, e.source_column, e.target_column) for e in self.edges], REGISTRATIONS["edges"]),
+            "filter_columns": spark.createDataFrame(list(self.filter_columns), REGISTRATIONS["filter_columns"]),
+        }
+
+    @classmethod
+    def load(cls, rows: Mapping[str, DataFrame]) -> Registry:
+        """A registry from its tables, each read in the order of its ids; every rule of registration holds."""
+        read = lambda name: rows[name].orderBy(*rows[name].columns[:2]).collect()  # noqa: E731  registrations, not data
+        out = cls()
+        for r in read("tables"):
+            out = out.add_table(r["name"], r["key"], r["table_id"])
+        names = {t.table_id: t.name for t in out.tables}
+        for r in read("edges"):
+            if r["source_table"] not in names or r["target_table"] not in names:
+                raise RegistrationError(f"edge {r['name']}: its tables are not registered")
+            out = out.add_edge(r["name"], names[r["source_table"]], r["source_column"], names[r["target_table"]], r["target_column"], r["edge_id"])
+        for r in read("filter_columns"):
+            if r["table_id"] not in names:
+                raise RegistrationError(f"filter column {r['column']}")
+            out = out.add_filter_column(names[r["table_id"]], r["column"])
+        return out
+
     def check(self) -> Registry:
         if not self.tables or not self.edges:
             raise RegistrationError("a build needs a table and an edge")
@@ -117,12 +150,73 @@ class Overlay:
 INSERT_EDGE, DELETE_EDGE, DELETE_NODE, TRUNCATE, REMOVE_OVERLAY_EDGE = 1, 2, 3, 4, 5
 
 
-def overlay_state(log: DataFrame, check: bool = True) -> Overlay:
+def captured(inserted: DataFrame, deleted: DataFrame, edge: Edge, start: int = 1) -> DataFrame:
+    """Changes of a registered edge's table as log rows (sequence, action_type, arg0, arg1).
+
+    Rows written to the table insert an edge, rows deleted from it remove the overlay
+    edge; both name node keys. Sequences go on from start, inserts before deletes.
+    """
+    def one(rows: DataFrame, action: int) -> DataFrame:
+        key = lambda table, column: node_key(table, valid_primary_key(F.col(column).cast("long")))
+        return rows.select(F.lit(action).alias("action_type"), key(edge.source_table, edge.source_column).alias("arg0"), key(edge.target_table, edge.target_column).alias("arg1"))
+
+    changes = one(inserted, INSERT_EDGE).unionByName(one(deleted, REMOVE_OVERLAY_EDGE)).where("arg0 IS NOT NULL AND arg1 IS NOT NULL")
+    return numbered(changes, ["action_type", "arg0", "arg1"], "sequence", start).select("sequence", "action_type", "arg0", "arg1")
+
+
+def sync_nodes(edges: DataFrame, log: DataFrame) -> DataFrame:
+    """(key, node): dense ids of the ends of edges and of the keys that the log names."""
+    keyed = log.where(F.col("action_type").isin(INSERT_EDGE, REMOVE_OVERLAY_EDGE))
+    named = keyed.select(F.col("arg0").alias("key")).unionByName(keyed.select(F.col("arg1").alias("key"))).where("key IS NOT NULL")
+    ends = edges.select(F.col("src").alias("key")).unionByName(edges.select(F.col("dst").alias("key")))
+    return numbered(ends.unionByName(named).distinct(), ["key"], "node")
+
+
+def resolved(log: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The log with dense ids for the node keys of its keyed actions; nodes is (key, node).
+
+    A key that nodes lacks, or a keyed action without one, is an error.
+    """
+    keyed = F.col("action_type").isin(INSERT_EDGE, REMOVE_OVERLAY_EDGE)
+    out = log
+    for arg in ("arg0", "arg1"):
+        out = out.join(nodes.select(F.col("key").alias(arg), F.col("node").alias(f"{arg}_node")), arg, "left")
+    out = cut(out.select("sequence", "action_type", *[F.when(keyed, F.col(f"{a}_node")).otherwise(F.col(a)).alias(a) for a in ("arg0", "arg1")], F.when(keyed, F.col("arg0_node").isNull() | F.col("arg1_node").isNull()).otherwise(False).alias("unknown")))
+    bad = out.where("unknown").orderBy("sequence").first()
+    if bad is not None:
+        raise SyncError(f"unknown node key in the row of sequence {bad['sequence']}")
+    return out.drop("unknown")
+
+
+def in_order(log: DataFrame, arrival: str) -> DataFrame:
+    """The log, if sequences strictly increase in the order of the arrival column; else an error.
+
+    Each range of arrivals is checked by itself, and a row for each range says how
+    neighbours meet, so no task sees the whole log.
+    """
+    placed = cut(log.orderBy(arrival).withColumn("__part", F.spark_partition_id()))
+    before = F.lag("sequence").over(Window.partitionBy("__part").orderBy(arrival))
+    parts = placed.select("__part", "sequence", (F.col("sequence") <= before).alias("late"))
+    ranges = parts.groupBy("__part").agg(F.max("late").alias("late"), F.min("sequence").alias("low"), F.max("sequence").alias("high")).orderBy("__part").collect()
+    high = None
+    for r in ranges:
+        if r["late"] or high is not None and r["low"] <= high:
+            raise SyncError("sequence numbers do not increase in the order of arrival")
+        high = r["high"]
+    return placed.drop("__part")
+
+
+def overlay_state(log: DataFrame, check: bool = True, arrival: str | None = None) -> Overlay:
     """The state after a log (sequence, action_type, arg0, arg1), as a set expression.
 
     Rows before the last truncation do not count. An inserted edge stays unless a
-    later row removes its pair; inserts are a multiset, tombstones are sets.
+    later row removes its pair; inserts are a multiset, tombstones are sets. A table
+    has no order of its own: without the name of an arrival column, the rows count
+    in the order of their sequence, and only one that occurs twice is an error; with
+    it, sequences must increase strictly in that order.
     """
+    if arrival is not None:
+        log = in_order(log, arrival)
     if check:
         bad = log.agg(F.count("*") - F.countDistinct("sequence"), F.sum(F.when(F.col("action_type").between(1, 5), 0).otherwise(1))).first()
         if bad[0]:
@@ -180,9 +274,25 @@ class RelationalGraph:
         ends = self.edges.select(F.col("src").alias("n")).unionByName(self.edges.select(F.col("dst").alias("n")))
         return ends.agg(F.countDistinct("n").alias("nodes"), (F.count("*") / 2).cast("long").alias("edges"))
 
-    def with_log(self, log: DataFrame) -> RelationalGraph:
+    def with_log(self, log: DataFrame, arrival: str | None = None) -> RelationalGraph:
         """The overlay of a whole log, computed anew each time."""
-        return replace(self, overlay=overlay_state(log))
+        return replace(self, overlay=overlay_state(log, arrival=arrival))
+
+    def reset(self) -> RelationalGraph:
+        """Without registrations, overlay and edges."""
+        return RelationalGraph(self.edges.limit(0), self.nodes.limit(0), None, Registry(), self.config)
+
+    def save(self, path: str) -> None:
+        """Write base edges, nodes and registrations; the overlay is what the log says."""
+        spark = self.edges.sparkSession
+        for name, df in ({"edges": self.edges, "nodes": self.nodes} | {f"registered_{k}": v for k, v in self.registry.rows(spark).items()}).items():
+            df.write.parquet(f"{path}/{name}")
+
+    @classmethod
+    def load_persisted(cls, spark: SparkSession, path: str, config: Config | None = None) -> RelationalGraph:
+        """What save() wrote."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(read("edges"), read("nodes"), None, Registry.load({k: read(f"registered_{k}") for k in REGISTRATIONS}), config or Config())
 
     def rebuild(self, tables: Mapping[str, DataFrame]) -> RelationalGraph:
         """New base edges from the registered tables; the overlay is dropped."""
@@ -209,7 +319,9 @@ class RelationalGraph:
     def traverse(self, seeds: list[int], limit: int = 100, max_depth: int | None = None, direction: str = "out", freshness: str | None = None, ordered: bool = True) -> DataFrame:
         """element, depth (and rank) from the seeds, which come first and count.
 
-        A seed outside the graph is an error, a tombstoned one is left out.
+        A seed outside the graph is an error, a tombstoned one is left out. The limit
+        holds with and without order; without, the level that it cuts gives its
+        smallest elements.
         """
         seeds = list(dict.fromkeys(max(0, int(s)) for s in seeds))
         if self.nodes.where(F.col("node").isin(seeds)).count() < len(seeds):
@@ -218,7 +330,8 @@ class RelationalGraph:
         limit = min(max(1, limit), self.config.traverse_limit)
         depth = None if max_depth is None or max_depth <= 0 else max_depth
         way = "incoming" if direction == "in" else "outgoing"
-        return traversal.bfs(self.visible_edges(freshness), [s for s in seeds if s in alive], depth, way, True, limit if ordered else None, ordered)
+        cap = {"limit": limit} if ordered else {"most": limit}
+        return traversal.bfs(self.visible_edges(freshness), [s for s in seeds if s in alive], depth, way, True, ordered=ordered, **cap)
 
     def visited_count(self, seed: int, max_depth: int | None = None, direction: str = "out", freshness: str | None = None) -> int:
         return self.traverse([seed], self.config.traverse_limit, max_depth, direction, freshness, ordered=False).count()
@@ -229,6 +342,15 @@ class RelationalGraph:
         low, high = (start, start) if end < 0 else sorted((start, end))
         return self.visible_nodes().where(F.col("node").between(low, high)).select("node").orderBy("node").limit(min(max(1, limit), self.config.search_limit))
 
+    def graph_traverse(self, seeds: int | list[int], limit: int = 100, max_depth: int = 0, direction: str = "out") -> list[int]:
+        """Node ids in the order of discovery, as a database function would return them.
+
+        The limit is capped by the configuration, so the list is of bounded size. A
+        direction other than "in" is out, a depth of 0 or less has no bound.
+        """
+        found = self.traverse([seeds] if isinstance(seeds, int) else seeds, limit, max_depth, direction)
+        return [r["element"] for r in found.orderBy("rank").collect()]
+
     def status(self) -> DataFrame:
         """One row of JSON: counts of the base, of the overlay and of what is registered."""
         row = self.estimate()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: a bound on what a Python worker holds at once.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: a bound on what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -21,22 +23,40 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One call of fn for each Arrow batch; fn must not keep state that results depend on."""
-    spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = fn(batch)
             if out is not None:
                 yield out
-        # Workers are used again by later tasks; what is free goes back to the system.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds on Arrow batches, by rows and by bytes; never raise them.
+
+    Spark reads them from the session when it plans, so they hold for it from then on.
+    """
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit[:1], 0)
+        if not 0 < now <= bound:
+            spark.conf.set(key, str(bound))
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers live on and serve later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without a pass through str."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

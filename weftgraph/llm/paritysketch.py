@@ -16,9 +16,14 @@ Equal sets are one node from the start. Small buckets list their pairs, and a pa
 is a candidate if it shares as many words as a link must. In a large bucket the
 node whose words are shared most is the centre, and all members are candidates
 with it. Candidates are verified on the exact shingle sets and their links are
-contracted. Large buckets that still hold several components compare whole
-sketches across these in blocks and list what passes. So every link is found or
-lies inside a component.
+contracted. Large buckets that still hold several components are packed into
+blocks, a row for each BLOCK members, and blocks are compared as wholes: pairs of
+different components whose parity bits allow a link join them in a forest, whose
+edges are verified. Where one of these fails, a second comparison lists every pair
+that is still in different components. Each node has a home, its largest bucket;
+two nodes of one home are compared there and not again in other buckets. So every
+link is found or lies inside a component, and no pair is a row before its sketches
+allow a link.
 
 Hot parts are found on a fixed sample of nodes; their rows are known to have
 partners and need not be shuffled to find them. Everything else covers all rows.
@@ -40,38 +45,54 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, checked_broadcast, cut, hash_filter, map_arrow, maybe_in, pick, release, without_ids
+from weftgraph.llm.common import byte_texts, checked_broadcast, cut, give_back, hash_filter, map_arrow, maybe_in, pick, release, small_batches, without_ids
+from weftgraph.operators.components import connected
 
 CACHE_WORDS = 120_000
 PASSES = 4
 #: The lowest bits of a key hold the number of the lower of its two bands, plus one.
-PAIR_MASK = 511
+PAIR_MASK = 4095
+#: Sets are smaller than this; the bands cover it at every threshold up to 99.
+MOST = 1 << 31
 SMALL = 8
-BLOCK = 128
+BLOCK = 1024
 HOT_SAMPLE, HOT_COUNT, HOT_KEYS = 64, 8, 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 @dataclass(frozen=True)
 class Join:
-    """J >= num / 100 on shingles of `words` words."""
+    """J >= num / 100 on shingles of `words` words, num in 1..100."""
 
     words: int = 5
     num: int = 80
 
+    def __post_init__(self):
+        if self.words < 1 or not 1 <= self.num <= 100:
+            raise ValueError("at least one word and a threshold of 1 to 100 are needed")
+        if self.num < 100 and len(self.lows()) > PAIR_MASK:
+            raise ValueError("too many bands for a key")
+
     def band(self, n: int) -> int:
         """The largest i with low(i) <= n."""
         return int(np.searchsorted(self.lows(), n, "right")) - 1
 
     def lows(self) -> np.ndarray:
-        """Lower bounds of the bands; sizes t apart lie in neighbouring bands."""
+        """Lower bounds of the bands; sizes t apart lie in neighbouring bands.
+
+        At a threshold of 100 only equal sets link, which needs no bands.
+        """
         lows = [1]
-        while lows[-1] < 1 << 40:
+        if self.num == 100:
+            return np.array([1, MOST, MOST], np.int64)
+        while lows[-1] < MOST:
             lows.append(max(lows[-1] + 1, lows[-1] * 100 // self.num + 1))
         return np.array(lows, np.int64)
 
     def parts(self, lows: np.ndarray, i: int) -> tuple[int, int]:
         """(number of parts, slack) for bands i and i + 1; no parts where only equal sets link."""
+        if i + 2 >= len(lows):
+            return 0, 0
         most = (int(lows[i + 2]) - 1 + int(lows[i + 1]) - 1) * (100 - self.num) // (100 + self.num)
         if most < 1:
             return 0, 0
@@ -146,7 +167,7 @@ def bits_distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
-SETS = "doc_id bigint, n bigint, node bigint, band int, bits binary, upper array<bigint>, lower array<bigint>"
+SETS = "doc_id bigint, n bigint, node bigint, band int, bits binary, upper binary, lower binary"
 
 
 def shingle_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,8 +188,8 @@ def shingle_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
             bits.append(parity_bits(s).tobytes() if len(s) else b"")
             for out, b in ((upper, i), (lower, i - 1)):
                 count = join.parts(lows, b)[0] if b >= 0 and len(s) else 0
-                out.append(sketch(s, count) if count else np.zeros(0, np.int64))
-        kind = pa.list_(pa.int64())
+                out.append(sketch(s, count).tobytes() if count else b"")
+        kind = pa.binary()
         return pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int32()), pa.array(bits, pa.binary()), pa.array(upper, kind), pa.array(lower, kind)],
             names=["doc_id", "n", "node", "band", "bits", "upper", "lower"],
@@ -188,10 +209,8 @@ def part_keys(nodes: DataFrame, join: Join, turn: int | None = None) -> DataFram
         keys, owner = [], []
         bands = batch.column(1).to_pylist()
         for side, column in ((0, batch.column(2)), (-1, batch.column(3))):
-            flat = column.flatten().to_numpy()
-            ends = np.cumsum([0, *column.value_lengths().to_pylist()])
-            for r, b in enumerate(bands):
-                parts = flat[ends[r] : ends[r + 1]]
+            for r, (b, raw) in enumerate(zip(bands, column.to_pylist(), strict=True)):
+                parts = np.frombuffer(raw, np.int64)
                 if len(parts) and (turn is None or (b + side) % PASSES == turn):
                     at = _strong(parts, join.parts(lows, b + side)[1])
                     seed = np.uint64(0xC2B2AE3D27D4EB4F) * (np.uint64(b + side + 1) * np.uint64(1 << 32) + at.astype(np.uint64))
@@ -286,42 +305,57 @@ def may_link(edges: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     return map_arrow(both, one, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component, for nodes with edges.
+def _compare(left: list, right: list, same: bool, key: int, num: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (a, b) of the pairs of two blocks in different components whose parity bits allow a link.
 
-    Each round sends every node to its smallest neighbour and contracts.
+    Pairs of one home are left to that bucket. With forest, only pairs that join
+    components not yet joined by those before.
     """
-    cur = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    maps: list[DataFrame] = []
-    while not cur.isEmpty():
-        ends = cur.select(F.col("b").alias("node"), F.col("a").alias("near")).unionByName(cur.select(F.col("a").alias("node"), F.col("b").alias("near")))
-        step = cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")))
-        maps.append(step)
-        a, b = step.toDF("a", "la"), step.toDF("b", "lb")
-        cur = cut(
-            cur.join(a, "a").join(b, "b")
-            .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a < b").distinct()
-        )
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-
-    def follow(first: DataFrame, then: DataFrame) -> DataFrame:
-        nxt = then.toDF("label", "next")
-        return first.join(nxt, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-
-    return cut(reduce(follow, maps[1:], maps[0]))
-
-
-def _block_pairs(left: tuple, right: tuple, same: bool, num: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks (labels, parity words, sizes) in different components that may link."""
-    (la, pa_, na), (lb, pb, nb) = left, right
-    differ = la[:, None] != lb[None, :]
-    if same:
-        differ &= np.arange(len(la))[:, None] < np.arange(len(lb))[None, :]
-    distance = np.zeros(differ.shape, np.int64)
-    for c in range(pa_.shape[1]):
-        distance += np.bitwise_count(pa_[:, c][:, None] ^ pb[:, c][None, :])
-    return np.nonzero(differ & (distance * (100 + num) <= (na[:, None] + nb[None, :]) * (100 - num)))
+    least = min(len(r["bits"]) for r in (*left, *right))
+
+    def arrays(rows: list) -> tuple:
+        words = np.stack([folded(np.frombuffer(r["bits"], np.uint8), least) for r in rows]).view(np.uint64)
+        return words, *(np.array([r[c] for r in rows], np.int64) for c in ("node", "label", "n", "home"))
+
+    (x, node_x, label_x, nx, home_x), (y, node_y, label_y, ny, home_y) = arrays(left), arrays(right)
+    root: dict[int, int] = {}
+
+    def top(label: int) -> int:
+        while label in root:
+            label = root[label]
+        return label
+
+    homes = np.unique(home_x)
+    if len(homes) <= 32:
+        parts = [(np.flatnonzero(home_x == h), np.flatnonzero((home_y != h) | (h == key))) for h in homes.tolist()]
+    else:  # all pairs, which covers more than it must
+        parts = [(np.arange(len(x)), np.arange(len(y)))]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own, others in parts:
+        if not len(others):
+            continue
+        rows = max(1, (1 << 20) // len(others))
+        for some in np.split(own, range(rows, len(own), rows)):
+            distance = np.zeros((len(some), len(others)), np.uint32)
+            for c in range(x.shape[1]):
+                distance += np.bitwise_count(x[some, c][:, None] ^ y[others, c][None, :])
+            ok = distance * np.int64(100 + num) <= (nx[some][:, None] + ny[others][None, :]) * np.int64(100 - num)
+            ok &= label_x[some][:, None] != label_y[others][None, :]
+            if same:
+                ok &= some[:, None] < others[None, :]
+            i, j = np.nonzero(ok)
+            i, j = some[i], others[j]
+            if forest:
+                kept = []
+                for p, (s, t) in enumerate(zip(label_x[i].tolist(), label_y[j].tolist(), strict=True)):
+                    s, t = top(s), top(t)
+                    if s != t:
+                        root[max(s, t)] = min(s, t)
+                        kept.append(p)
+                i, j = i[kept], j[kept]
+            a.append(np.minimum(node_x[i], node_y[j]))
+            b.append(np.maximum(node_x[i], node_y[j]))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def candidates(sized: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
@@ -352,33 +386,36 @@ def candidates(sized: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     return listed, stars.distinct()
 
 
-def residual(big: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) of large buckets (key, node) that are not yet in one component and may link."""
-    named = big.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split_up = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    large = cut(named.join(split_up, "key"))
+def residual(big: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join, forest: bool) -> DataFrame:
+    """Pairs (a, b) of large buckets that are not yet in one component and may link.
+
+    big has key, node and home, which is the key of the node's largest bucket.
+    """
+    named = big.join(labels, "node", "left").select("key", "node", "home", F.coalesce("label", "node").alias("label"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "home")]
+    several = named.groupBy("key").agg(*ends, F.count("*").alias("size")).where("min_label < max_label AND (min_home < max_home OR min_home = key)").select("key", "size")
+    large = cut(named.join(several, "key"))
     if large.isEmpty():
         return large.select(F.col("node").alias("a"), F.col("node").alias("b"))
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = large.select("key", "node", "label", n_blocks.alias("nb"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("i"))
-    meet = dealt.select("key", "node", "label", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    full = meet.join(nodes.select("node", "n", "bits"), "node").withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
-
-    def compare(_, pdf):
-        import pandas as pd
-
-        bits = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
-        least = min(map(len, bits))
-        words = np.stack([folded(x, least) for x in bits]).view(np.uint64)
-        label, n, node, block = (pdf[c].to_numpy() for c in ("label", "n", "node", "i"))
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        r, c = _block_pairs((label[a], words[a], n[a]), (label[b], words[b], n[b]), p == q, join.num)
-        x, y = node[a][r], node[b][c]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    blocks = full.groupBy("key", "p", "q").applyInPandas(compare, "a bigint, b bigint")
-    return blocks.distinct()
+    full = large.join(nodes.select("node", "n", "bits"), "node")
+    dealt = full.select("key", "size", F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("i"), F.struct("node", "label", "n", "home", "bits").alias("row"))
+    # About BLOCK rows in each: a hash deals the members, so no block gathers a whole bucket.
+    blocks = cut(dealt.groupBy("key", "i").agg(F.collect_list("row").alias("rows"), F.first("size").alias("size")))
+    j = F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("j")
+    meet = blocks.select("key", "i", j, "rows").select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "rows")
+    small_batches(big.sparkSession)
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
+        rows = table.column("rows").to_pylist()
+        a = b = np.zeros(0, np.int64)
+        if p == q or len(rows) == 2:  # a block may have no partner
+            a, b = _compare(rows[0], rows[-1], p == q, key, join.num, forest)
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return meet.groupBy("key", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,7 +430,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     classes = member.groupBy("node").agg(F.min("doc_id").alias("class_id"))
     # A node's sketches are those of any row with its set. Only sets that may occur
     # twice are shuffled, and combined before that.
-    may = member.where((F.size("upper") > 0) | (F.size("lower") > 0))
+    may = member.where((F.octet_length("upper") > 0) | (F.octet_length("lower") > 0))
     again = hash_filter(may.groupBy("node").count().where("count > 1").select(F.col("node").alias("h")))
     marked = maybe_in(may, "node", again, "again").withColumnRenamed("doc_id", "rep")
     columns = ["node", "rep", "n", "band", "bits", "upper", "lower"]
@@ -411,7 +448,9 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     sized = cut(buckets.join(sizes, "key").join(nodes.select("node", "n", "band"), "node"))
     listed, stars = candidates(sized, join)
     stars = cut(listed.unionByName(stars).distinct())
-    big = sized.where(F.col("size") > SMALL).select("key", "node")
+    big = sized.where(F.col("size") > SMALL).select("key", "node", "size")
+    homes = big.groupBy("node").agg(F.max_by("key", F.struct("size", "key")).alias("home"))
+    big = cut(big.join(homes, "node").select("key", "node", "home"))
 
     holder: dict = {}
 
@@ -432,12 +471,19 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
         exact = map_arrow(near.join(ids, near["doc_id"] == ids["rep"], "left_semi").select("text"), blobs, "node bigint, blob binary").where("node IS NOT NULL")
         return cut(links(edges, cut(exact), join))
 
-    first = verified(stars)
-    labels = components(first)
-    rest = residual(big, labels, nodes, join).join(stars, ["a", "b"], "left_anti")
-    second = verified(rest)
-    if not second.isEmpty():
-        labels = components(first.unionByName(second))
+    found = tried = None
+    for turn in range(3):
+        # Stars, then a forest of what joins components, then what a failed edge of it may hide.
+        listed = stars if turn == 0 else cut(residual(big, labels, nodes, join, forest=turn == 1))
+        if turn and listed.isEmpty():
+            break
+        asked = listed if tried is None else cut(listed.join(tried, ["a", "b"], "left_anti"))
+        got = verified(asked)
+        tried = asked if tried is None else tried.unionByName(asked)
+        found = got if found is None else found.unionByName(got)
+        labels = connected(found)
+        if turn == 1 and got.count() == listed.count():  # no edge of the forest failed, now or before
+            break
     whole = classes.join(labels, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
     least = whole.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = whole.join(least, "label").select("node", "class_id", "component_id")

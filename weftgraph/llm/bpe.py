@@ -1,25 +1,30 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is cut where no pattern match can cross (before a space that follows a
-non-space and precedes one), each part falls into pattern matches, and a match
-longer than a leaf is halved recursively. Two encoded neighbours are joined by
-re-encoding a window around their boundary; the window doubles on the side that
-has not settled. It has settled when the window's outer token and its neighbour
-outside form a *compatible pair*, one that merges back into itself. A sequence
-whose neighbours are all compatible is the encoding of its bytes: the first
-merge across a token boundary would also happen in the pair alone. So the join
-is exact, associative, and independent of where a match was halved.
+A text is cut into parts where no pattern match can cross (before a space between
+two non-spaces), and each part falls into pattern matches. As in the library, a
+match that is a token as a whole is that token. Every other match is halved down to
+single bytes, and the encodings of halves are joined up the tree: a window around
+their boundary is encoded anew, and doubles on the side that has not settled. It
+has settled when the window's outer token and its neighbour outside form a
+*compatible pair*, one that encodes to itself. A sequence whose neighbours are all
+compatible is the encoding of its bytes: the first merge across a token boundary
+would also happen in the pair alone. So the join is exact, associative, and
+independent of where a match was halved. The parts of a document are joined up a
+tree too; there the join is concatenation, as no token crosses a match.
 
 Decoding concatenates token bytes up a balanced tree.
 
+Encodings of matches, halves and windows are remembered in caches of bounded size
+that forget what was not asked for lately; results do not depend on them.
+
 Null text encodes like the empty text: no ids, no bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import checked_broadcast, map_arrow, pick
 
-LEAF_BYTES = 48
 CHUNK_CHARS = 1 << 15
-CACHE_PIECES = 120_000
+CACHE_ENTRIES = 100_000
 SCHEMA = "doc_id bigint, ids_le32 binary, decoded binary"
 
 
@@ -50,104 +54,129 @@ def tree_fold(parts: Sequence, join: Callable, empty):
     return level[0] if level else empty
 
 
+class Recent(dict):
+    """Results of a function, made when they are asked for.
+
+    When it is full, what it holds becomes the older half, from which entries come
+    back when they are asked for; what is not is forgotten with the next change.
+    """
+
+    def __init__(self, make: Callable, most: int = CACHE_ENTRIES):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class BpeCodec:
-    """Encoder and decoder for one table of ranks and one split pattern."""
+    """Encoder and decoder for one table of ranks and one split pattern.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = LEAF_BYTES):
+    leaf_bytes is where halving ends: at single bytes, unless a test asks otherwise.
+    joins and windows count the joins and those that encoded a window anew.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = 1):
         self.ranks = ranks
         self.leaf_bytes = max(1, leaf_bytes)
         self.tokens = {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache = _Pieces(self)
-
-    def merge(self, data: bytes) -> list[int]:
+        self.joins = self.windows = 0
+        self.match = Recent(self._match)
+        self.half = Recent(self._half)
+        self.window = Recent(self._window)
+        top = max(self.tokens, default=0) + 1
+        sizes = np.array([len(self.tokens.get(i, b"")) for i in range(top)], np.int64)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.text = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
+
+    def merge(self, data: bytes) -> tuple[int, ...]:
         """Plain merging of a short byte string: lowest rank first, leftmost on ties."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        worst = len(ranks) + 1
-        cost = [ranks.get(parts[i] + parts[i + 1], worst) for i in range(len(parts) - 1)]
+        rank, worst = self.ranks.get, len(self.ranks) + 1
+        at = list(range(len(data) + 1))  # where parts begin
+        cost = [rank(data[i : i + 2], worst) for i in at[:-2]]
         while cost:
             best = min(cost)
             if best == worst:
                 break
             i = cost.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del cost[i]
+            del at[i + 1], cost[i]
             if i < len(cost):
-                cost[i] = ranks.get(parts[i] + parts[i + 1], worst)
+                cost[i] = rank(data[at[i] : at[i + 2]], worst)
             if i:
-                cost[i - 1] = ranks.get(parts[i - 1] + parts[i], worst)
-        return [ranks[p] for p in parts]
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether the pair encodes to itself."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= CACHE_PIECES:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+                cost[i - 1] = rank(data[at[i - 1] : at[i + 1]], worst)
+        return tuple([self.ranks[data[i:j]] for i, j in zip(at, at[1:])])
+
+    def _window(self, window: tuple[int, ...]) -> tuple[int, ...]:
+        return self.merge(b"".join([self.tokens[t] for t in window]))
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two neighbouring byte strings from their encodings."""
+        self.joins += 1
         if not left or not right:
             return left + right
-        i, j = 0, 0
+        window, known = left[-1:] + right[:1], self.window
+        middle = known[window]
+        if middle == window:  # a compatible pair: nothing changes
+            return left + right
+        i = j = 1
         while True:
-            window = left[len(left) - i :] + right[:j]
-            middle = self.merge(b"".join(self.tokens[t] for t in window)) if window else []
-            whole = left[len(left) - i - 1 : len(left) - i] + middle + right[j : j + 1]
-            if not middle:
-                settled_left = settled_right = self.compatible(left[-1], right[0])
-            else:
-                settled_left = i >= len(left) or self.compatible(whole[0], whole[1])
-                settled_right = j >= len(right) or self.compatible(whole[-2], whole[-1])
+            self.windows += 1
+            settled_left = settled_right = True
+            if i < len(left):
+                pair = (left[-i - 1], middle[0])
+                settled_left = known[pair] == pair
+            if j < len(right):
+                pair = (middle[-1], right[j])
+                settled_right = known[pair] == pair
             if settled_left and settled_right:
                 return left[: len(left) - i] + middle + right[j:]
-            if not settled_left:
-                i = min(len(left), max(1, 2 * i))
-            if not settled_right:
-                j = min(len(right), max(1, 2 * j))
+            i, j = (i if settled_left else min(2 * i, len(left))), (j if settled_right else min(2 * j, len(right)))
+            middle = known[left[len(left) - i :] + right[:j]]
 
-    def piece(self, data: bytes) -> list[int]:
-        """One pattern match: a known token, a leaf, or two halves joined."""
-        known = self.ranks.get(data)
-        return [known] if known is not None else self.halves(data)
+    def halves(self, data: bytes) -> tuple[int, ...]:
+        """A byte string by halves, down to single bytes; short halves are remembered."""
+        return self.half[data] if len(data) <= 12 else self._half(data)
 
-    def halves(self, data: bytes) -> list[int]:
+    def _half(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= self.leaf_bytes:
             return self.merge(data)
         middle = len(data) // 2
         return self.join(self.halves(data[:middle]), self.halves(data[middle:]))
 
+    def _match(self, text: str) -> bytes:
+        """One match, as the bytes of its ids."""
+        data = text.encode()
+        known = self.ranks.get(data)
+        ids = self._half(data) if known is None else (known,)
+        return np.array(ids, "<u4").tobytes() if len(ids) > 8 else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) > 1000 and len(max(found, key=len)) > 64:  # long matches are not remembered
+            return b"".join([self.match[m] if len(m) <= 64 else self._match(m) for m in found])
+        return b"".join(map(self.match.__getitem__, found))
+
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a text, as little-endian unsigned 32-bit integers."""
-        at = self.cache.__getitem__
-        parts = [np.fromiter(chain.from_iterable(map(at, self.find(c))), "<u4") for c in safe_chunks(text or "")]
-        return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, "<u4")
+        return np.frombuffer(tree_fold([self._part(c) for c in safe_chunks(text or "")], bytes.__add__, b""), "<u4")
 
     def decode(self, ids: Sequence[int], leaf: int = 1 << 14) -> bytes:
         """The bytes of a sequence of ids."""
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
-        at = self.tokens.__getitem__
-        return tree_fold([b"".join(map(at, ids[i : i + leaf])) for i in range(0, len(ids), leaf)], bytes.__add__, b"")
-
-
-class _Pieces(dict):
-    """Encodings of recent matches; emptied when full, so its memory is bounded."""
+        ids = np.asarray(ids, np.int64)
 
-    def __init__(self, codec: BpeCodec):
-        self.codec = codec
+        def tokens(some: np.ndarray) -> bytes:
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes)
+            return self.text[np.arange(int(ends[-1])) + np.repeat(self.starts[some] - ends + sizes, sizes)].tobytes()
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        ids = tuple(self.codec.piece(data))
-        if len(data) <= 64:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return tree_fold([tokens(ids[i : i + leaf]) for i in range(0, len(ids), leaf)], bytes.__add__, b"")
 
 
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")

@@ -1,7 +1,7 @@
 """URL filter by rules and by empirical-Bayes host reputation.
 
-Labelled page outcomes (bad or not) are counted by host. The share of bad pages
-is shrunk towards its parent: hosts towards their registered domain, domains
+Page outcomes (bad, not bad or unknown) are counted by host; they may be labels, or
+come from the pages themselves by page_outcomes(). The share of bad pages is shrunk towards its parent: hosts towards their registered domain, domains
 towards their public suffix, suffixes towards the whole. Each level has one
 beta-binomial prior whose strength comes from the spread between its groups
 (method of moments). A page is blocked when the lower bound of its host's
@@ -13,9 +13,11 @@ host's pages are never gathered: pages meet their host's verdict in an equi-join
 that adaptive execution splits when one host is hot.
 
 Defined cases: a null url or one without `://` has an empty host and path, and
-is judged as the host ''. Without labels the prior blocks nothing. Repeated
-pages are judged one by one; a page labelled twice counts twice. Empty tables
-give empty results. Columns besides page_id and url are not read.
+is judged as the host ''. Without outcomes the prior blocks nothing. Repeated
+pages are judged one by one, each a page of its own for the counts; a page with two
+outcomes counts twice; a null page_id has no outcome. Hosts without a dot are their
+own domain and suffix. Empty tables give empty results. Columns besides page_id,
+url and, for page_outcomes(), html are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import pick
+from weftgraph.llm.common import cut, pick
 
 MAX_RULES = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +40,11 @@ TWO_LABEL_SUFFIXES = (
 )
 
 
+# Words of advertising for gambling and pills, and signs that prose seldom has.
+SPAM_WORDS = ("casino", "pills", "bets", "lottery", "payday")
+JUNK_SIGNS = "#*$%|"
+
+
 @dataclass(frozen=True)
 class Limits:
     """Block when mean - z * deviation of the posterior exceeds max_bad."""
@@ -68,6 +75,21 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
+def page_outcomes(pages: DataFrame, junk_percent: int = 5) -> DataFrame:
+    """page_id, bad: what a page's own html says of it.
+
+    Bad is a page with a spam word anywhere in its html, or with more than
+    junk_percent of 100 characters outside of tags being junk signs. Null html is
+    unknown, html without text is not bad.
+    """
+    html = F.col("html")
+    text = F.regexp_replace(html, "<[^>]*>", " ")
+    signs = F.length(text) - F.length(F.translate(text, JUNK_SIGNS, ""))
+    spam = html.rlike(f"(^|[^0-9A-Za-z])(?i:{'|'.join(SPAM_WORDS)})([^0-9A-Za-z]|$)")
+    bad = F.when(html.isNotNull(), (spam | (signs * 100 > F.length(text) * junk_percent)).cast("int"))
+    return pick(pages, "page_id", "html").select("page_id", bad.alias("bad"))
+
+
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; nulls where none does."""
     if len(rules) > MAX_RULES:
@@ -100,19 +122,20 @@ def host_posteriors(pages: DataFrame, outcomes: DataFrame, limits: Limits = Limi
     """
     seen = pick(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"))
     known = pick(outcomes, "page_id", "bad").where("page_id IS NOT NULL AND bad IN (0, 1)")
-    hosts = (
+    hosts = cut(
         seen.join(known, "page_id", "left").groupBy("host")
         .agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
         .select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
     )
+    # Each level is summed once; the levels below read the sums, not the pages.
     sums = (F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
+    domains = cut(hosts.groupBy("domain", "suffix").agg(*sums))
+    suffixes = cut(domains.groupBy("suffix").agg(*sums))
     whole = suffixes.agg(*sums).select(((F.coalesce("k", F.lit(0.0)) + 1) / (F.coalesce("n", F.lit(0.0)) + 20)).alias("m"))
     mean = (F.col("k") + F.col("strength") * F.col("m")) / (F.col("n") + F.col("strength"))
-    level = _shrink(suffixes.crossJoin(F.broadcast(whole)), limits).select("suffix", mean.alias("m"))  # one row: the whole
-    level = _shrink(domains.join(level, "suffix"), limits).select("domain", mean.alias("m"))
-    level = _shrink(hosts.join(level, "domain"), limits)
+    level = cut(_shrink(suffixes.crossJoin(F.broadcast(whole)), limits).select("suffix", mean.alias("m")))  # one row: the whole
+    level = cut(_shrink(cut(domains.join(level, "suffix")), limits).select("domain", mean.alias("m")))
+    level = _shrink(cut(hosts.join(level, "domain")), limits)
     total = F.col("n") + F.col("strength")
     return level.select("host", "domain", "suffix", "n", "k", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("deviation"))
 

@@ -1,13 +1,18 @@
 """License scan: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Segments are the header lines of every file (lines with a word that begins like
-`licen`, `copyright`, `copyleft` or `spdx`, anywhere in the whole text) and the
-whole text of files named as licence files. Each distinct segment is compared
-with each template by the cosine of TF-IDF vectors; the idf counts templates,
-and a word that no template has gets the idf of a word in none. A file's licence
-is the best one at or above the threshold, ties go to the first name. A licence
-file declares its licence for its directory; a file without one of its own takes
-that of the nearest ancestor directory.
+Segments are lines of every file (headers) and the whole text of files named as
+licence files. A licence has several templates: its notice, its body, its SPDX
+lines. Each distinct segment is compared with each template by the cosine of
+TF-IDF vectors, with 1 + ln(count) as term weight; the idf counts templates, and a
+word that no template has gets the idf of a word in none. A file's licence is that
+of the best template at or above the threshold, ties go to the first name. A
+licence file declares its licence for its directory; a file without one of its own
+takes that of the nearest ancestor directory.
+
+Every line of every text is looked at, and none that can reach the threshold is
+left out: with M the squared weight of a segment's words that any template has, and
+R that of its others, no cosine exceeds the root of M / (M + R). Lines below that
+bound, as nearly all, are passed over where they are read, before any shuffle.
 
 Only DataFrame functions run. Segments are made distinct before they are split
 into words, so a line in a third of all files is compared once; inheritance is
@@ -16,8 +21,8 @@ that adaptive execution splits.
 
 Defined cases: null and empty texts have no segment; a null path has neither
 directory nor licence from one. Of two licence files in a directory the better
-score wins, then the first name. Repeated rows give repeated results. Other
-columns of the table are not read.
+score wins, then the first name. Repeated rows give repeated results. Empty tables
+give empty results. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -25,71 +30,90 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import cut, pick
+from weftgraph.llm.licence_texts import TEMPLATES
+from weftgraph.llm.linededup import let
 
 THRESHOLD = 0.6
-STEMS = ("licen", "copyright", "copyleft", "spdx")
-HEADER = rf"(?i)\b({'|'.join(STEMS)})"
-WORD = r"[0-9a-z]+(?:\.[0-9]+)*"
+WORD = r"[0-9A-Za-z]+(?:\.[0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Templates and their words are broadcast; this bounds them.
+MAX_WORDS = 100_000
 
-# How files and headers name their licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Released into the public domain under CC0 1.0 Universal.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "Copyright. All rights reserved.",
-}
-
-
-def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """idf of each template word, and each template's vector of length one."""
-    tf = {k: Counter(re.findall(WORD, v.translate(str.maketrans(UPPER, LOWER)))) for k, v in templates.items()}
-    df = Counter(w for c in tf.values() for w in c)
+
+def template_weights(templates: dict[str, Sequence[str]]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
+    """idf of each template word, and (licence, vector of length one) of each template."""
+    fold = str.maketrans(UPPER, LOWER)
+    tf = [(k, Counter(re.findall(WORD, t.translate(fold)))) for k, texts in sorted(templates.items()) for t in texts]
+    df = Counter(w for _, c in tf for w in c)
     idf = {w: math.log((1 + len(tf)) / (1 + n)) + 1 for w, n in sorted(df.items())}
-    vectors = {}
-    for k, c in tf.items():
-        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
-        vectors[k] = {w: n * idf[w] / norm for w, n in sorted(c.items())}
+    vectors = []
+    for k, c in tf:
+        x = {w: (1 + math.log(n)) * idf[w] for w, n in sorted(c.items())}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        vectors.append((k, {w: v / norm for w, v in x.items()}))
     return idf, vectors
 
 
-def _frames(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, float]:
+def may_reach(segment: Column, templates: dict[str, Sequence[str]], threshold: float) -> Column:
+    """False only where no template can reach the threshold: the bound of the module, on upper bounds of idf."""
+    idf, vectors = template_weights(templates)
+    unknown = math.log(1 + len(vectors)) + 1
+    by_idf = sorted(idf, key=lambda w: (idf[w], w))
+    # Three classes of words, each with its greatest idf.
+    classes = [c for c in (by_idf[: len(by_idf) // 20], by_idf[len(by_idf) // 20 : len(by_idf) // 4], by_idf[len(by_idf) // 4 :]) if c]
+    least = (threshold - 1e-5) ** 2
+
+    def weight(w: Column) -> Column:
+        out = F.lit(idf[classes[-1][-1]])
+        for c in reversed(classes[:-1]):
+            out = F.when(w.isin(c), idf[c[-1]]).otherwise(out)
+        return out
+
+    def bound(words: Column) -> Column:
+        def of(p: Column) -> Column:
+            square = lambda w: F.pow((1 + F.ln(F.size(F.filter(p["words"], lambda x: x == w)))) * weight(w), F.lit(2.0))
+            known = F.aggregate(p["known"], F.lit(0.0), lambda total, w: total + square(w))
+            others = F.size(F.array_distinct(p["words"])) - F.size(p["known"])
+            return (F.size(p["known"]) > 0) & (known * (1 - least) >= others * (least * unknown**2))
+
+        return let(F.struct(words.alias("words"), F.array_distinct(F.filter(words, lambda w: w.isin(by_idf))).alias("known")), of)
+
+    return let(words_of(segment), bound)
+
+
+def words_of(segment: Column) -> Column:
+    return F.transform(F.regexp_extract_all(segment, F.lit(f"({WORD})"), 1), F.lower)
+
+
+def _frames(spark: SparkSession, templates: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame, float]:
     idf, vectors = template_weights(templates)
-    if len(idf) > 100_000:
+    if len(idf) > MAX_WORDS:
         raise ValueError("too many template words to broadcast")
     idf_rows = spark.createDataFrame(list(idf.items()), "word string, idf double")
-    vector_rows = spark.createDataFrame([(w, k, x) for k, v in vectors.items() for w, x in v.items()], "word string, licence string, weight double")
-    return F.broadcast(idf_rows), F.broadcast(vector_rows), math.log(1 + len(templates)) + 1
+    vector_rows = spark.createDataFrame([(w, i, k, x) for i, (k, v) in enumerate(vectors) for w, x in v.items()], "word string, template int, licence string, weight double")
+    return F.broadcast(idf_rows), F.broadcast(vector_rows), math.log(1 + len(vectors)) + 1
 
 
-def segment_scores(segments: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """segment, licence, score: the best template of each distinct segment."""
+def segment_scores(segments: DataFrame, templates: dict[str, Sequence[str]]) -> DataFrame:
+    """h1, h2 (hashes of a segment), licence, score: the best template of each distinct segment."""
     idf, vectors, unknown = _frames(segments.sparkSession, templates)
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = (
-        segments.distinct()
-        .select("segment", F.explode(F.regexp_extract_all(F.translate("segment", UPPER, LOWER), F.lit(f"({WORD})"), 1)).alias("word"))
-        .select(F.xxhash64("segment").alias("h1"), F.md5(F.col("segment").cast("binary")).alias("h2"), "word")
-    )
+        segments.distinct().select("segment", F.xxhash64("segment").alias("h1"), F.md5(F.col("segment").cast("binary")).alias("h2")).repartition(n, "h2")
+        .select("h1", "h2", F.explode(words_of(F.col("segment"))).alias("word"))
+    )
     tf = words.groupBy("h1", "h2", "word").agg(F.count("*").alias("tf")).join(idf, "word", "left")
-    weighed = tf.select("h1", "h2", "word", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("x"))
+    weighed = cut(tf.select("h1", "h2", "word", ((1 + F.ln("tf")) * F.coalesce("idf", F.lit(unknown))).alias("x")))
     norms = weighed.groupBy("h1", "h2").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
-    dots = weighed.join(vectors, "word").groupBy("h1", "h2", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = weighed.join(vectors, "word").groupBy("h1", "h2", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, ["h1", "h2"]).select("h1", "h2", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = scores.groupBy("h1", "h2").agg(F.max_by("licence", _rank("score", "licence")).alias("licence"), F.max("score").alias("score"))
-    return best
+    return scores.groupBy("h1", "h2").agg(F.max_by("licence", _rank("score", "licence")).alias("licence"), F.max("score").alias("score"))
 
 
 def _rank(score: str, name: str) -> Column:
@@ -97,24 +121,20 @@ def _rank(score: str, name: str) -> Column:
     return F.struct(F.col(score), F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c)))
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text", whole_col: str = "is_licence_file", id_col: str = "doc_id") -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, Sequence[str]] = TEMPLATES, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text", whole_col: str = "is_licence_file", id_col: str = "doc_id") -> DataFrame:
     """doc_id, path, own_licence, score, licence, inherited_from of every file.
 
     whole_col tells which files are licence files.
     """
     files = pick(files, id_col, path_col, text_col, whole_col).toDF("doc_id", "path", "text", "whole")
-    # Most texts hold none of the stems; only the others are split and matched line by line.
-    low = F.lower("text")
-    may = reduce(lambda a, b: a | b, [low.contains(stem) for stem in STEMS])
-    header = F.when(may, F.filter(F.split("text", "\n"), lambda line: line.rlike(HEADER))).otherwise(F.array().cast("array<string>"))
-    parts = F.when(F.col("whole"), F.array_append(header, F.col("text"))).otherwise(header)
-    # The texts are read once: from here on a file is its id, its path and its segments.
-    light = files.select(
-        "doc_id", "path", F.coalesce("whole", F.lit(False)).alias("whole"),
-        F.coalesce(F.array_distinct(F.filter(parts, lambda s: F.length(s) > 0)), F.array().cast("array<string>")).alias("segments"),
-    ).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)^(.*)/", 1)).otherwise(F.when(F.col("path").isNotNull(), "")))
-    light = cut(light)
-    split_up = light.where(F.size("segments") > 0).select("doc_id", "path", "whole", "dir", F.explode("segments").alias("segment"))
+    path_dir = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)^(.*)/", 1)).otherwise(F.when(F.col("path").isNotNull(), ""))
+    light = files.select("doc_id", "path", F.coalesce("whole", F.lit(False)).alias("whole"), path_dir.alias("dir"), "text")
+    lines = F.split("text", "\n")
+    parts = F.when(F.col("whole"), F.array_append(lines, F.col("text"))).otherwise(lines)
+    # The texts are read once; what is kept are the few segments that may reach the threshold.
+    split_up = light.where(F.length("text") > 0).select("doc_id", "path", "whole", "dir", F.explode(F.array_distinct(parts)).alias("segment"))
+    split_up = cut(split_up.where(may_reach(F.col("segment"), templates, threshold)))
+    light = light.drop("text")
     best = segment_scores(split_up.select("segment"), templates).where(F.col("score") >= threshold)
     keyed = split_up.select("doc_id", "path", "whole", "dir", F.xxhash64("segment").alias("h1"), F.md5(F.col("segment").cast("binary")).alias("h2"))
     own = (

@@ -54,10 +54,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label with its number: bad if of low quality or toxic."""
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    out = reputation.judge(table(spark, sf_dir, "pages"), outcomes, RULES)
+    """A page's outcome is what its own html says: spam words or junk signs make it bad."""
+    pages = table(spark, sf_dir, "pages")
+    out = reputation.judge(pages, reputation.page_outcomes(pages), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_share", 6).alias("bad_share"))
 
 
@@ -65,9 +64,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: source/lang/hundred/number; every twentieth is its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
     licence_file = F.col("doc_id") % 20 == 0
-    above = F.when(F.col("doc_id") % 60 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string")))
-    path = F.when(licence_file, F.concat_ws("/", above, F.concat(F.lit("LICENSE."), F.col("doc_id")))).otherwise(
-        F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    number = F.col("doc_id").cast("string")
+    below = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"))
+    above = F.when(F.col("doc_id") % 60 == 0, F.col("source")).otherwise(below)
+    # A null source, language or number makes the path null.
+    path = F.when(licence_file, F.concat(above, F.lit("/LICENSE."), number)).otherwise(F.concat(below, F.lit("/"), number, F.lit(".txt")))
     return licences.scan(docs.select("doc_id", path.alias("path"), "text", F.coalesce(licence_file, F.lit(False)).alias("is_licence_file")))
 
 
@@ -86,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 #: Template vectors as SQL values; the figures come from the fixed texts of the templates.
 _IDF, _VECTORS = licences.template_weights(licences.TEMPLATES)
 _IDF_SQL = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in _IDF.items())
-_VECTOR_SQL = ", ".join(f"('{w}', '{k}', {x!r}::DOUBLE)" for k, v in _VECTORS.items() for w, x in v.items())
+_VECTOR_SQL = ", ".join(f"('{w}', {i}, '{k}', {x!r}::DOUBLE)" for i, (k, v) in enumerate(_VECTORS) for w, x in v.items())
 _STRENGTH = "greatest(0.5, least(1000.0, coalesce(CASE WHEN sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0) > 0 THEN sum(n * m * (1 - m) * (n - 1)) / sum((k - n * m) ** 2 - n * m * (1 - m)) - 1 ELSE 1000.0 END, 1000.0)))"
 
 ORACLES: dict[str, str] = {
@@ -124,7 +125,11 @@ WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-o AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM labels),
+t AS (SELECT page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages),
+o AS (
+  SELECT page_id, CASE WHEN html IS NOT NULL THEN (
+    regexp_matches(html, '(^|[^0-9A-Za-z])(?i:{"|".join(reputation.SPAM_WORDS)})([^0-9A-Za-z]|$)')
+    OR (length(t) - length(translate(t, '{reputation.JUNK_SIGNS}', ''))) * 100 > length(t) * 5)::INTEGER END AS bad FROM t),
 h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
 hs AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hs GROUP BY ALL),
@@ -150,20 +155,20 @@ WITH f AS (
   FROM documents),
 fp AS (SELECT *, dir || '/' || name AS path FROM f),
 idf AS (SELECT * FROM (VALUES {_IDF_SQL}) AS t(word, idf)),
-vec AS (SELECT * FROM (VALUES {_VECTOR_SQL}) AS t(word, licence, weight)),
+vec AS (SELECT * FROM (VALUES {_VECTOR_SQL}) AS t(word, template, licence, weight)),
 seg AS (
   SELECT DISTINCT doc_id, path, dir, whole, segment
-  FROM (SELECT doc_id, path, dir, whole, unnest(string_split(text, chr(10))) AS segment FROM fp) WHERE regexp_matches(segment, '(?i)\b(licen|copyright|copyleft|spdx)')
+  FROM (SELECT doc_id, path, dir, whole, unnest(string_split(text, chr(10))) AS segment FROM fp) WHERE length(segment) > 0
   UNION SELECT doc_id, path, dir, whole, text FROM fp WHERE whole AND length(text) > 0),
 tf AS (
   SELECT segment, word, count(*) AS tf
   FROM (SELECT segment, unnest(regexp_extract_all(translate(segment, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([0-9a-z]+(?:\.[0-9]+)*)')) AS word FROM (SELECT DISTINCT segment FROM seg))
   GROUP BY ALL),
-w AS (SELECT segment, tf.word, tf * coalesce(idf, ln(1 + {len(licences.TEMPLATES)}) + 1) AS x FROM tf LEFT JOIN idf ON tf.word = idf.word),
+w AS (SELECT segment, tf.word, (1 + ln(tf)) * coalesce(idf, ln(1 + {len(_VECTORS)}) + 1) AS x FROM tf LEFT JOIN idf ON tf.word = idf.word),
 norm AS (SELECT segment, sqrt(sum(x * x)) AS norm FROM w GROUP BY segment),
 sc AS (
   SELECT segment, licence, round(dot / norm, 6) AS score
-  FROM (SELECT segment, licence, sum(x * weight) AS dot FROM w JOIN vec USING (word) GROUP BY ALL) JOIN norm USING (segment)),
+  FROM (SELECT segment, template, licence, sum(x * weight) AS dot FROM w JOIN vec USING (word) GROUP BY ALL) JOIN norm USING (segment)),
 own AS (
   SELECT doc_id, path, dir, whole, score, licence AS own_licence
   FROM seg JOIN sc USING (segment) WHERE score >= {licences.THRESHOLD}
@@ -173,7 +178,7 @@ near AS (
   SELECT d.dir, above, licence FROM (SELECT DISTINCT dir FROM fp) d JOIN decl ON d.dir = above OR starts_with(d.dir, above || '/')
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(above) DESC) = 1)
 SELECT fp.doc_id, fp.path, own_licence, score, coalesce(own_licence, near.licence) AS licence, CASE WHEN own_licence IS NULL THEN above END AS inherited_from
-FROM fp LEFT JOIN own USING (doc_id, path) LEFT JOIN near ON fp.dir = near.dir
+FROM fp LEFT JOIN own ON fp.doc_id IS NOT DISTINCT FROM own.doc_id AND fp.path IS NOT DISTINCT FROM own.path LEFT JOIN near ON fp.dir = near.dir
 """,
     "op8_decontaminate": r"""
 WITH dw AS (

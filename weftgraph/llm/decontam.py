@@ -1,19 +1,24 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each executor cuts the documents it reads into shards of bounded bytes, sorts
-the shard's word suffixes (those that begin with a benchmark word; no other can
-match), and binary-searches every benchmark suffix in that order. Suffixes are
-compared on their first WINDOW words, which decides every window; runs of
-consecutive matches are then chained into the longest verbatim matches.
+Each executor cuts the documents it reads into shards of bounded bytes and sorts
+the shard's word suffixes by prefix doubling, up to the length of the longest
+benchmark item. Only suffixes that begin with a benchmark word are in the array, as
+no other can match. Every benchmark suffix is binary-searched in it for its first
+WINDOW words; the range it finds holds all its occurrences, and each is extended
+word by word to the longest verbatim match. Matches that another one holds are left
+out.
 
 The benchmark is split by a hash of item_id into blocks of measured, bounded
 size. Each block is one broadcast and one pass in the same stage, so nothing
-depends on the benchmark fitting into memory at once.
+depends on the benchmark fitting into memory at once; after MAX_BLOCKS of them the
+result so far is cut, and the next ones go on from there.
 
 Defined cases: null and empty texts have no words; an item without words is
 never found; an item shorter than the window is one window; repeated item ids
-count once; repeated document rows are judged one by one; empty tables on
-either side give zero hits or no rows.
+count once; of equally long matches of one item the first in the text is told;
+repeated document rows are judged one by one; a text longer than a shard is a shard
+of its own; empty tables on either side give zero hits or no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -45,7 +50,11 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """Every window of a block of benchmark items, packed for binary search."""
+    """The suffixes of a block of benchmark items, their first words packed for binary search.
+
+    text holds all items one after the other, each before and after a 0; place is where
+    a suffix begins there.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         texts = [(i, words(t)) for i, t in items]
@@ -53,10 +62,12 @@ class TestSuffixes:
         self.bits = max(1, len(self.vocab).bit_length())
         self.per_key = max(1, min(window, 62 // self.bits))
         self.n_keys = -(-window // self.per_key)
-        item, start, size, rows = [], [], [], []
+        item, start, size, rows, place, flat = [], [], [], [], [], [0]
         for i, ws in texts:
             ids = [self.vocab[w] for w in ws]
             m = min(window, len(ids))
+            place.extend(range(len(flat), len(flat) + len(ids) - m + 1) if m else ())
+            flat += [*ids, 0]
             for j in range(len(ids) - m + 1 if m else 0):
                 item.append(i)
                 start.append(j)
@@ -65,6 +76,9 @@ class TestSuffixes:
         self.item = np.array(item, np.int64)
         self.start = np.array(start, np.int64)
         self.size = np.array(size, np.int64)
+        self.place = np.array(place, np.int64)
+        self.text = np.array(flat, np.int64)
+        self.longest = max((len(ws) for _, ws in texts), default=1)
         table = np.array(rows, np.int64).reshape(len(rows), self.n_keys * self.per_key)
         free = np.arange(table.shape[1]) >= self.size[:, None]
         self.low, self.high = self._pack(table), self._pack(np.where(free, (1 << self.bits) - 1, table))
@@ -78,56 +92,76 @@ class TestSuffixes:
             keys.append(key)
         return keys
 
-    def suffix_keys(self, stream: np.ndarray, at: np.ndarray, n_keys: int) -> list[np.ndarray]:
-        """The packed leading words of the suffixes at some positions."""
-        padded = np.concatenate([stream, np.zeros(n_keys * self.per_key, np.int64)])
-        keys = []
-        for k in range(n_keys):
-            key = np.zeros(len(at), np.int64)
-            for c in range(k * self.per_key, (k + 1) * self.per_key):
-                key = (key << self.bits) | padded[at + c]
-            keys.append(key)
-        return keys
+class SuffixArray:
+    """Positions of a stream of word ids (0 ends a suffix), in the order of their suffixes.
+
+    Suffixes are compared on their first `depth` words at least, or up to where they end.
+    """
 
-    def search(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(test window, position) of all occurrences in a stream of word ids."""
-        none = np.zeros(0, np.int64)
+    def __init__(self, stream: np.ndarray, bits: int, per_key: int, depth: int):
+        self.bits, self.per_key = bits, per_key
+        self.padded = np.concatenate([stream, np.zeros(2 * max(depth, per_key) + per_key, np.int64)])
         at = np.flatnonzero(stream)
-        if not len(at) or not len(self.item):
-            return none, none
-        # Sort by the first key; only ranges that a test suffix falls into need more order.
-        first_key = self.suffix_keys(stream, at, 1)[0]
-        array = np.argsort(first_key)
-        ranked = first_key[array]
-        reach = np.zeros(len(at) + 1, np.int64)
-        np.add.at(reach, np.searchsorted(ranked, self.low[0], "left"), 1)
-        np.add.at(reach, np.searchsorted(ranked, self.high[0], "right"), -1)
-        at = np.sort(at[array[np.cumsum(reach[:-1]) > 0]])
-        if not len(at):
-            return none, none
-        # Refined key by key; `rank` is dense at each step.
-        rank = np.zeros(len(at), np.int64)
-        low = np.zeros(len(self.item), np.int64)
-        high = np.ones(len(self.item), np.int64)  # the ranks low <= r < high still match
-        for key, q_low, q_high in zip(self.suffix_keys(stream, at, self.n_keys), self.low, self.high, strict=True):
-            values, place = np.unique(key, return_inverse=True)
-            n = len(values)
-            pure = high - low == 1
-            low, high = (
-                np.where(pure, low * n + np.searchsorted(values, q_low, "left"), low * n),
-                np.where(pure, low * n + np.searchsorted(values, q_high, "right"), high * n),
-            )
-            rank = rank * n + place
-            order = np.unique(rank)
-            low, high = np.searchsorted(order, low, "left"), np.searchsorted(order, high, "left")
-            rank = np.searchsorted(order, rank)
-        array = np.argsort(rank, kind="stable")
-        ranked = rank[array]
-        first, last = np.searchsorted(ranked, low, "left"), np.searchsorted(ranked, high, "left")
-        count = np.maximum(last - first, 0)
-        window = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return window, at[array[np.repeat(first, count) + offset]]
+        key = self.key(at)
+        order = np.argsort(key, kind="stable")
+        self.first, self.array = key[order], at[order]
+        rank = np.zeros(len(self.padded), np.int64)
+        head = np.ones(len(at), bool)
+        head[1:] = self.first[1:] != self.first[:-1]
+        rank[self.array] = self._heads(head) + 1
+        known = per_key
+        while known < depth:
+            # Members of groups of several whose suffixes go on.
+            several = ~head
+            several[:-1] |= ~head[1:]
+            open_ = np.flatnonzero(several & (self.padded[self.array + known] > 0))
+            ended = np.flatnonzero(several & (self.padded[self.array + known] == 0))
+            if len(open_) < 2:
+                break
+            some = np.sort(np.concatenate([open_, ended]))
+            p = self.array[some]
+            one, two = rank[p], rank[p + known]
+            o = np.lexsort((two, one))
+            p, one, two = p[o], one[o], two[o]
+            self.array[some] = p
+            new = np.ones(len(p), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            head[some] = new
+            rank[p] = some[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))] + 1
+            known *= 2
+
+    @staticmethod
+    def _heads(head: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+
+    def key(self, at: np.ndarray) -> np.ndarray:
+        """per_key words from some positions on, packed."""
+        out = np.zeros(len(at), np.int64)
+        for c in range(self.per_key):
+            out = (out << self.bits) | self.padded[at + c]
+        return out
+
+    def _bisect(self, low: np.ndarray, high: np.ndarray, target: np.ndarray, skip: int, right: bool) -> np.ndarray:
+        """In each range, the first place whose key after `skip` words is not below (or is above) the target."""
+        low, high = low.copy(), high.copy()
+        while True:
+            go = np.flatnonzero(low < high)
+            if not len(go):
+                return low
+            middle = (low[go] + high[go]) // 2
+            key = self.key(self.array[middle] + skip)
+            up = key <= target[go] if right else key < target[go]
+            low[go] = np.where(up, middle + 1, low[go])
+            high[go] = np.where(up, high[go], middle)
+
+    def ranges(self, lows: list[np.ndarray], highs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the places whose leading words lie between its packed bounds."""
+        low = np.searchsorted(self.first, lows[0], "left")
+        high = np.searchsorted(self.first, highs[0], "right")
+        for k in range(1, len(lows)):
+            skip = k * self.per_key
+            low, high = self._bisect(low, high, lows[k], skip, False), self._bisect(low, high, highs[k], skip, True)
+        return low, np.maximum(low, high)
 
 
 def _shard(tests: TestSuffixes, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[list[dict]]]:
@@ -138,11 +172,17 @@ def _shard(tests: TestSuffixes, texts: list[list[bytes]]) -> tuple[list[np.ndarr
     stream = np.zeros(int((sizes + 1).sum()), np.int64)
     for s, ws in zip(starts, texts, strict=True):
         stream[s : s + len(ws)] = np.fromiter(map(get, ws, repeat(0)), np.int64, len(ws))
-    window, pos = tests.search(stream)
     hits: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     matches: list[list[dict]] = [[] for _ in texts]
-    if not len(pos):
+    if not stream.any() or not len(tests.item):
+        return hits, matches
+    suffixes = SuffixArray(stream, tests.bits, tests.per_key, tests.longest)
+    low, high = suffixes.ranges(tests.low, tests.high)
+    count = high - low
+    if not count.any():
         return hits, matches
+    window = np.repeat(np.arange(len(count)), count)
+    pos = suffixes.array[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     size = tests.size[window]
     edge = np.zeros(len(stream) + 1, np.int64)
     np.add.at(edge, pos, 1)
@@ -150,25 +190,25 @@ def _shard(tests: TestSuffixes, texts: list[list[bytes]]) -> tuple[list[np.ndarr
     covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     owner = np.searchsorted(starts, covered, "right") - 1
     for d in np.unique(owner):
-        hits[d] = covered[owner == d] - starts[d] if len(texts) < 2 else covered[np.searchsorted(owner, d, "left") : np.searchsorted(owner, d, "right")] - starts[d]
-    # Chains of windows on one diagonal are one verbatim match.
-    doc = np.searchsorted(starts, pos, "right") - 1
-    item, begin = tests.item[window], tests.start[window]
-    order = np.lexsort((pos, pos - begin, item, doc))
-    doc, item, begin, pos, size = doc[order], item[order], begin[order], pos[order], size[order]
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (begin[1:] != begin[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(pos)) - 1
-    length = pos[tail] - pos[head] + size[tail]
-    best: dict[tuple[int, int], int] = {}
-    for n, h in enumerate(head.tolist()):
-        key = (int(doc[h]), int(item[h]))
-        if key not in best or length[n] > length[best[key]]:
-            best[key] = n
-    for (d, i), n in best.items():
-        h = head[n]
-        matches[d].append({"item_id": i, "doc_start": int(pos[h] - starts[d]), "item_start": int(begin[h]), "n_words": int(length[n])})
+        hits[d] = covered[np.searchsorted(owner, d, "left") : np.searchsorted(owner, d, "right")] - starts[d]
+    # Occurrences that go on to the left belong to the match that begins there.
+    place = tests.place[window]
+    left = np.where(pos > 0, stream[np.maximum(pos - 1, 0)], 0)
+    begins = (left == 0) | (left != tests.text[place - 1])
+    window, pos, place, length = window[begins], pos[begins], place[begins], size[begins].copy()
+    padded = suffixes.padded
+    going = np.arange(len(pos))
+    while len(going):
+        ahead = padded[pos[going] + length[going]]
+        going = going[(ahead > 0) & (ahead == tests.text[place[going] + length[going]])]
+        length[going] += 1
+    doc, item = np.searchsorted(starts, pos, "right") - 1, tests.item[window]
+    order = np.lexsort((tests.start[window], pos, -length, item, doc))
+    first = np.ones(len(order), bool)
+    first[1:] = (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])
+    for n in order[first].tolist():
+        d = int(doc[n])
+        matches[d].append({"item_id": int(item[n]), "doc_start": int(pos[n] - starts[d]), "item_start": int(tests.start[window[n]]), "n_words": int(length[n])})
     return hits, matches
 
 

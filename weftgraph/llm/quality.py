@@ -8,8 +8,10 @@ chunk of each size ends at the end of the text, so every byte is in one.
 A text shorter than the smaller size is judged as a whole only.
 Texts shorter than the first band have no ratio that means anything and pass.
 
-Defined cases: null and empty texts have no words, so the base rule fails them.
-Repeated rows are judged one by one; other columns are not read.
+Defined cases: null and empty texts have no words, so the base rule fails them, as
+it does all texts too short for a band. Very long texts are compressed whole.
+Repeated rows are judged one by one; a ratio on a limit is inside. Empty tables give
+no rows; other columns, also ones named like results, are not read.
 """
 
 from __future__ import annotations

@@ -5,11 +5,15 @@ weighted feature differences over pairs of a preferred and a rejected document.
 The raw score is then compared with a quantile: the share of rejected labels
 among all labelled rows gives the place in the distribution of their scores.
 
-Pairs come from at most per_class rows of each class, drawn by a hash of the id
-(the documented bound). The share and the quantile cover all labelled rows.
+Pairs come from at most per_class labelled ids of each class, drawn by a hash of the
+id (the documented bound); rows that repeat an id are one there, with the smallest of
+their texts. The share and the quantile cover all labelled rows.
 
 Defined cases: null texts score like empty ones; without rows of both classes
-every score is 0.7 (nothing is rejected); repeated rows are scored one by one.
+every score is 0.7 (nothing is rejected); repeated rows are scored one by one, and
+count one by one in the quantile. Equal raw scores have equal scores, so rows that
+tie at the threshold all stay. Very long texts are scored whole. Empty tables give no
+rows; columns besides the named ones are not read, keep() returns them as they are.
 """
 
 from __future__ import annotations
@@ -131,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
         x = [row.astype("<f8").tobytes() for row in _features_of(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], names=["y", "x"])
 
-    got = sorted(map_arrow(one.join(sample, "doc_id").select("y", "text"), vectors, "y int, x binary").collect(), key=lambda r: bytes(r["x"]))
+    got = sorted(map_arrow(one.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text"), vectors, "y int, x binary").collect(), key=lambda r: bytes(r["x"]))
     good, bad = [r for r in got if r["y"] == 1], [r for r in got if r["y"] == 0]
     if not good or not bad:
         return Judge(None)

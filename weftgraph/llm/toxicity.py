@@ -6,13 +6,20 @@ becomes a space. Patterns are words or word stems anchored at a word's start.
 Their weights are smoothed log odds between toxic and other labelled rows. The
 sum of the weights of the longest match at each word, without matches inside an
 exception phrase, is normalised by length and mapped to 0..1 by a logistic fit.
+Exceptions are built in, and learned: pairs of neighbouring words with a match that
+clean rows have and toxic rows hardly.
 
-Training takes at most per_class labelled rows of each class, drawn by a hash of
-the id (the documented bound), and keeps at most max_patterns patterns.
+Training takes at most per_class labelled ids of each class, drawn by a hash of the
+id (the documented bound); rows that repeat an id are one there, with the smallest of
+their texts. The size of the model is bounded by parameters: a pattern needs
+min_support of the toxic rows, and the max_candidates most frequent ones are looked
+at, of which max_patterns are kept. Every text is matched whole.
 
 Defined cases: null and empty texts have no match and get the score of a clean
-text. Without labelled rows of both classes the built-in words weigh DEFAULT.
-Repeated rows are judged one by one.
+text. Without labelled rows of both classes the built-in words weigh DEFAULT. Of
+matches that begin at one word the longest counts, of patterns with equal support the
+first in order comes first. Repeated rows are judged one by one. Empty tables give no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +47,8 @@ WORDS = "idiot moron loser scum pathetic worthless disgusting stupid trash clown
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "pond scum", "sore loser")
 # Signs and letters of other scripts that stand for a Latin letter.
 SUBSTITUTES = {
-    "a": "4@аαɑ", "b": "8ьβ", "c": "сϲ", "d": "ԁ", "e": "3еεҽ", "g": "9ɡ", "h": "һ", "i": "1!іιı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м",
-    "n": "ո", "o": "0оοσ", "p": "рρ", "q": "ԛ", "s": "5$ѕ", "t": "7тτ", "u": "υս", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уү",
+    "a": "4@аαɑᴀ", "b": "8ьβʙ", "c": "сϲᴄ", "d": "ԁᴅ", "e": "3еεҽᴇ", "f": "ꜰ", "g": "9ɡɢ", "h": "һʜ", "i": "1!іιıɪ", "j": "јᴊ", "k": "кκᴋ", "l": "ӏʟ", "m": "мᴍ",
+    "n": "ոɴ", "o": "0оοσᴏ", "p": "рρᴘ", "q": "ԛ", "r": "ʀ", "s": "5$ѕꜱ", "t": "7тτᴛ", "u": "υսᴜ", "v": "ѵνᴠ", "w": "ԝᴡ", "x": "хχ", "y": "уүʏ", "z": "ᴢ",
 }
 MIN_STEM, MAX_STEM = 4, 8
 
@@ -85,7 +92,7 @@ def fold(text: str) -> str:
     return " " + " ".join(low.translate(_FOLD if not low.isascii() else _PLAIN).split()) + " "
 
 
-_MIXED = re.compile(r"[a-zͰ-׿]+[0-9@$!][0-9a-z@$!Ͱ-׿]*|[0-9@$!]+[a-zͰ-׿][0-9a-z@$!Ͱ-׿]*")
+_MIXED = re.compile(r"[^\W\d_]+[0-9@$!](?:[^\W_]|[@$!])*|[0-9@$!]+[^\W\d_](?:[^\W_]|[@$!])*")
 _PLAIN = {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}
 
 
@@ -147,7 +154,7 @@ def stems(folded: str) -> set[str]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000, max_patterns: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000, max_patterns: int = 2000, min_support: float = 0.004, max_candidates: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn patterns, weights and the logistic map from labelled rows.
 
     trainable(column) tells from the id which rows labels may be learned from.
@@ -164,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1_000_000))
     part = {y: int(min(1.0, per_class / n) * 1e6) for y, n in counts.items()}
     chosen_ids = bounded(known.where(drawn < F.when(F.col("y") == 1, part[1]).otherwise(part[0])), 4 * per_class + 1000)
-    sample = texts.join(chosen_ids, "doc_id").select("text", "y")
+    sample = texts.join(chosen_ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = [Counter(), Counter()]
@@ -177,13 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["p", "hit", "miss"])
 
     table = map_arrow(sample.select("text", F.col("y").cast("int")), count, "p string, hit bigint, miss bigint").groupBy("p").agg(F.sum("hit").alias("hit"), F.sum("miss").alias("miss"))
-    least = F.greatest(F.lit(4), F.lit(part[1] / 1e6 * counts[1] * 0.004))
+    least = F.greatest(F.lit(4), F.lit(part[1] / 1e6 * counts[1] * min_support))
     # Patterns that occur at least eight times as often in toxic rows; the most frequent come first.
-    got = table.where((F.col("p") == "") | ((F.col("hit") >= least) & (F.col("hit") >= 8 * (F.col("miss") * part[1] * counts[1] / (part[0] * counts[0]))))).orderBy(F.desc("hit"), F.desc("miss"), "p").limit(40_000).collect()
+    got = table.where((F.col("p") == "") | ((F.col("hit") >= least) & (F.col("hit") >= 8 * (F.col("miss") * part[1] * counts[1] / (part[0] * counts[0]))))).orderBy(F.desc("hit"), F.desc("miss"), "p").limit(max_candidates).collect()
     total = next(((r["hit"], r["miss"]) for r in got if r["p"] == ""), (0, 0))
     found = {r["p"]: (r["hit"], r["miss"]) for r in got if r["p"]}
     chosen = choose(found, total, max_patterns)
     lexicon = Lexicon({f" {w}": DEFAULT for w in WORDS} | chosen)
+    lexicon.exceptions = EXCEPTIONS + learned_exceptions(sample, lexicon, total)
     auto = checked_broadcast(docs.sparkSession, lexicon, 100 * len(lexicon.weights))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -196,6 +204,30 @@ def train(docs: DataFrame, labels: DataFrame, trainable, per_class: int = 3000,
     return lexicon
 
 
+def phrases(auto, folded: str) -> set[str]:
+    """Pairs of neighbouring words, one of which begins with a pattern."""
+    words = folded.split()
+    hit = [any(True for end, (size, _) in auto.iter(f" {w} ") if end - size + 1 == 0) for w in words]
+    return {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]}
+
+
+def learned_exceptions(sample: DataFrame, lexicon: Lexicon, total: tuple[int, int], least: int = 5, most: int = 500) -> tuple[str, ...]:
+    """Phrases with a match that at least `least` clean rows have, and toxic rows at a twentieth of that rate or less."""
+    shared = checked_broadcast(sample.sparkSession, lexicon.weights, 100 * len(lexicon.weights))
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        auto = Lexicon(shared.value, ()).automaton()
+        seen = [Counter(), Counter()]
+        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen[y].update(phrases(auto, fold(t)))
+        keys = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["p", "hit", "miss"])
+
+    table = map_arrow(sample.select("text", F.col("y").cast("int")), count, "p string, hit bigint, miss bigint").groupBy("p").agg(F.sum("hit").alias("hit"), F.sum("miss").alias("miss"))
+    clean = (F.col("miss") >= least) & (F.col("hit") * (20 * (total[1] + 1)) <= F.col("miss") * (total[0] + 1))
+    return tuple(r["p"] for r in table.where(clean).orderBy(F.desc("miss"), "p").limit(most).collect() if r["p"] not in EXCEPTIONS)
+
+
 def choose(found: dict[str, tuple[int, int]], total: tuple[int, int], max_patterns: int) -> dict[str, float]:
     """The shortest pure stems, each drawn out as far as its support stays the same."""
     def weight(p: str) -> float:

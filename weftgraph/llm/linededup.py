@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
 A line is dropped when an earlier line (by doc_id, then line number) is equal to
-it or within `edits` edits of it. Equal lines are one, known by a 64-bit hash.
+it or within `edits` edits of it. Equal lines are one, known by two 64-bit hashes;
+pairs are found by the first of them and verified on the texts.
 Each distinct line is cut into edits + 1 segments, one of which any line within
 that distance holds unchanged. Segments are indexed by (length, number, text);
 a line probes, for each length up to `edits` shorter than its own, only the
@@ -19,10 +20,10 @@ Only DataFrame functions run. Hot equal lines are combined before they are
 shuffled; a document's own line numbers are the only lists that are gathered.
 
 Defined cases: null texts have no lines; an empty text has one empty line; lines
-shorter than min_chars are never dropped and drop nothing; rows that repeat a
-doc_id are one document, in which equal places never drop each other; a null
-doc_id comes after all others. Empty tables give empty results, and other columns
-are not read.
+shorter than min_chars are never dropped and drop nothing; lines of any length are
+compared whole; rows that repeat a doc_id are one document, in which equal places
+never drop each other; a null doc_id comes after all others. Empty tables give empty
+results, and other columns are not read; remove_lines() returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, hash_filter, maybe_in, pick
+from weftgraph.llm.common import cut, hash_filter, maybe_in, pick, stored
 
 EDITS = 2
 MIN_CHARS = 20
@@ -250,12 +251,13 @@ def dropped_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, i
     base = pick(docs, id_col, text_col).toDF("doc_id", "text")
     split_up = F.split("text", "\n", -1)
     # Line hashes only; the texts are read again where they are needed, but not shuffled.
-    table = cut(base.select("doc_id", F.transform(split_up, lambda s: F.when(F.length(s) >= min_chars, F.xxhash64(s))).alias("hs")))
+    both = lambda s: F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g"))
+    table = stored(base.select("doc_id", F.transform(split_up, lambda s: F.when(F.length(s) >= min_chars, both(s))).alias("hs")))
     sizes = table.groupBy("doc_id").agg(F.greatest(F.max(F.coalesce(F.size("hs"), F.lit(0))), F.lit(0)).cast("bigint").alias("n_lines"))
-    places = table.select("doc_id", F.posexplode("hs").alias("no", "h")).where("h IS NOT NULL")
+    places = table.select("doc_id", F.posexplode("hs").alias("no", "line")).where("line IS NOT NULL").select("doc_id", "no", "line.h", "line.g")
     # A null id comes last.
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("no"))
-    firsts = cut(places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("h", "first", (F.col("n") > 1).alias("again")))
+    firsts = cut(places.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("h", "g", "first", (F.col("n") > 1).alias("again")))
 
     def lines_of(rows: DataFrame) -> DataFrame:
         return rows.select(F.explode(split_up).alias("line")).where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("h"), "line")
@@ -265,9 +267,9 @@ def dropped_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, i
     ends = pairs.select(F.col("a").alias("h"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("near")))
     earlier = ends.join(firsts.select(F.col("h").alias("near"), "first"), "near").groupBy("h").agg(F.min("first").alias("other"))
     limits = firsts.join(earlier, "h", "left").where("again OR other < first")
-    limits = cut(limits.select("h", F.least("first", F.coalesce("other", "first")).alias("first")))
+    limits = cut(limits.select("h", "g", F.least("first", F.coalesce("other", "first")).alias("first")))
     places = maybe_in(places, "h", hash_filter(limits), "limited").where("limited").drop("limited")
-    return sizes, places.join(limits, "h").where(place > F.col("first")).select("doc_id", "no", "h")
+    return sizes, places.join(limits, ["h", "g"]).where(place > F.col("first")).select("doc_id", "no", "h")
 
 
 def dropped_by_document(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

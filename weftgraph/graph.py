@@ -129,6 +129,23 @@ class HyperGraph:
         b = self.sides.where("side = 'target'").select("relation_id", F.col("element_id").alias("dst")).distinct()
         return a.join(b, "relation_id").select("src", "dst").distinct()
 
+    def predecessors(self) -> DataFrame:
+        """(src, dst): dst is on a target side, src on the source side of the same relation; once each."""
+        return self.successors().select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+    def outgoing(self, element: int) -> DataFrame:
+        """Relations that the element is a source of."""
+        return self.incident(element, "source")
+
+    def incoming(self, element: int) -> DataFrame:
+        """Relations that the element is a target of."""
+        return self.incident(element, "target")
+
+    def local_ids(self, of: str = "element") -> DataFrame:
+        """(element_id, relation_id or incidence_id, local_idx): dense numbers in the order of the ids."""
+        frame = {"element": self.vertices, "relation": self.relations, "incidence": self.sides}[of]
+        return numbered(frame.select(f"{of}_id").distinct(), [f"{of}_id"], "local_idx")
+
     def star_expansion(self) -> DataFrame:
         """Bipartite edges (kind, src, dst): element to relation on the source side, relation to element on the target side."""
         into = self.sides.where("side = 'source'").select(F.lit("in").alias("kind"), F.col("element_id").alias("src"), F.col("relation_id").alias("dst")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traversal import induced
-from weftgraph.session import cut, numbered
+from weftgraph.session import cut, forget, numbered
 
 
 def connected(edges: DataFrame, on_round: Callable[[int], None] | None = None) -> DataFrame:
@@ -36,14 +36,21 @@ def connected(edges: DataFrame, on_round: Callable[[int], None] | None = None) -
         maps.append(step)
         la, lb = F.col("la"), F.col("lb")
         ahead = cur.join(step.toDF("a", "la"), "a").join(step.toDF("b", "lb"), "b").where(la != lb)
-        cur = cut(ahead.select(F.least(la, lb).alias("a"), F.greatest(la, lb).alias("b")).distinct())
+        ahead = cut(ahead.select(F.least(la, lb).alias("a"), F.greatest(la, lb).alias("b")).distinct())
+        forget(cur)
+        cur = ahead
     if not maps:
         return edges.select(a.alias("node"), a.alias("label")).limit(0)
     labels = maps.pop()
     while maps:
-        labels = cut(maps.pop().join(labels.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        step = maps.pop()
+        known = cut(step.join(labels.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        forget(step, labels)
+        labels = known
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    return cut(labels.join(least, "label").select("node", F.col("least").alias("label")))
+    out = cut(labels.join(least, "label").select("node", F.col("least").alias("label")))
+    forget(labels, cur)
+    return out
 
 
 def weak_components(edges: DataFrame, elements: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.errors import NonConvergedError, PageRankError
-from weftgraph.session import cut
+from weftgraph.session import cut, forget
 
 
 #: A source with more edges than this, or than half a partition of all edges, is split.
@@ -84,7 +84,7 @@ def pagerank(edges: DataFrame, states: DataFrame, weight: bool = False, personal
     part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
     placed = shares.join(F.broadcast(hubs), "src", "left").select("src", "dst", "share", part.alias("part")).repartition(n, "src", "part").sortWithinPartitions("src", "part").persist()
     state = teleport.join(sources.withColumnRenamed("src", "element"), "element", "left").select("element", (F.col("t") / mass).alias("t"), F.coalesce("parts", F.lit(0)).alias("parts"))
-    cur = cut(state.withColumn("rank", F.col("t")))
+    before = cur = cut(state.withColumn("rank", F.col("t")))
     lost = F.sum(F.when(F.col("parts") == 0, F.col("rank")).otherwise(0.0))
     dangling = cur.agg(lost).first()[0]
     delta = math.inf
@@ -94,10 +94,12 @@ def pagerank(edges: DataFrame, states: DataFrame, weight: bool = False, personal
         rank = damping * F.coalesce("got", F.lit(0.0)) + ((1 - damping) + damping * dangling) * F.col("t")
         new = cut(cur.withColumnRenamed("rank", "old").join(got, "element", "left").select("element", "t", "parts", rank.alias("rank"), F.abs(rank - F.col("old")).alias("moved")))
         delta, dangling = new.agg(F.sum("moved"), lost).first()
-        cur = new.drop("moved")
+        forget(before)
+        before, cur = new, new.drop("moved")
         if not fixed and delta <= tolerance:
             break
     placed.unpersist()
+    forget(shares, sources)
     if not fixed and delta > tolerance:
         raise NonConvergedError(f"delta {delta} after {max_iterations} iterations")
     return Ranks(cur.select("element", "rank"), i, delta)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import examples as X
+from weftgraph.catalog import Schema
+from weftgraph.graph import HyperGraph
 from weftgraph.operators.components import members, sizes
-from weftgraph.session import numbered
+from weftgraph.session import numbered, shared_folder
 from weftgraph.sources import layers
-from weftgraph.sources.relational import Registry, RelationalGraph, dense_nodes, edge_scan, overlay_state
-from weftgraph.store import merged
+from weftgraph.sources.builders import GraphBuilder, HypergraphBuilder
+from weftgraph.sources.relational import Registry, RelationalGraph, captured, dense_nodes, edge_scan, overlay_state, resolved, sync_nodes
+from weftgraph.store import GraphStore, merged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -526,6 +530,285 @@ def rekey_layer(spark, d):
     return layers.rekey(c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")), local)
 
 
+# -- orders, paths and members row by row ---------------------------------------------------------
+@query(f"WITH RECURSIVE {activity_sql()}, {CLOSURE.format(back=' UNION SELECT dst, src FROM act')}, c AS (SELECT s AS element, min(t) AS component FROM cl GROUP BY s) SELECT component, row_number() OVER (PARTITION BY component ORDER BY element) - 1 AS pos, element FROM c")
+def component_member_rows(spark, d):
+    return members(X.activity(spark, d).weak_components())
+
+
+@query(f"""WITH {GEO}, up AS (SELECT src, dst FROM geo_edge), top AS (
+  SELECT element_id, coalesce(b.dst, a.dst, element_id) AS region FROM geo_label LEFT JOIN up a ON a.src = element_id LEFT JOIN up b ON b.src = a.dst)
+SELECT element_id AS element, min(element_id) OVER (PARTITION BY region) AS component FROM top""")
+def geo_components(spark, d):
+    """A component for each region, with its nations, customers and suppliers."""
+    store = X.geo(spark, d)
+    return store.graph("geo").weak_components(store.elements)
+
+
+@query(f"{DAG}, lv AS (SELECT element_id, max(level) AS level FROM r GROUP BY element_id) SELECT element_id AS element, row_number() OVER (ORDER BY level, element_id) - 1 AS pos FROM lv")
+def topo_order(spark, d):
+    store = X.geo(spark, d)
+    return store.graph("geo").topological_order(store.elements)
+
+
+@query(f"""{DAG}, lv AS (SELECT element_id, max(level) AS level FROM r GROUP BY element_id), p2 AS (SELECT min(element_id) AS e FROM lv WHERE level = 2),
+p1 AS (SELECT min(src) AS e FROM geo_edge JOIN lv ON element_id = src WHERE level = 1 AND dst = (SELECT e FROM p2)), p0 AS (SELECT min(src) AS e FROM geo_edge JOIN lv ON element_id = src WHERE level = 0 AND dst = (SELECT e FROM p1))
+SELECT 0 AS pos, e AS element FROM p0 UNION ALL SELECT 1, e FROM p1 UNION ALL SELECT 2, e FROM p2""")
+def longest_path_rows(spark, d):
+    return X.geo(spark, d).graph("geo").longest_path()
+
+
+DISCOVERY = """s AS (SELECT {seed} AS id), l1 AS (SELECT {to} AS element, row_number() OVER (ORDER BY min(edge)) AS rank FROM e WHERE {at} = (SELECT id FROM s) AND {to} <> {at} GROUP BY {to}),
+l2 AS (SELECT {to} AS element, min((rank, edge)) AS p FROM e JOIN l1 ON {at} = element WHERE {to} NOT IN (SELECT element FROM l1 UNION SELECT id FROM s) GROUP BY {to}),
+found AS (SELECT id AS element, 0 AS depth, 0 AS rank FROM s UNION ALL SELECT element, 1, rank FROM l1 UNION ALL SELECT element, 2, (SELECT count(*) FROM l1) + row_number() OVER (ORDER BY p) FROM l2)"""
+
+
+@query(f"WITH {activity_sql()}, e AS (SELECT * FROM act), {DISCOVERY.format(seed='(SELECT min(src) FROM act)', at='src', to='dst')} SELECT * FROM found")
+def bfs_discovery_order(spark, d):
+    g = X.activity(spark, d)
+    return g.bfs_bounded(_ends(g)[:1], 2, include_seeds=True, ordered=True)
+
+
+@query(f"WITH {GEO}, e AS (SELECT * FROM geo_edge), {DISCOVERY.format(seed=f'{T}*1 + 2', at='dst', to='src')} SELECT element AS element_id, depth FROM found WHERE rank BETWEEN 1 AND 40")
+def walk_limit_statement(spark, d):
+    return X.geo(spark, d).query(f"GRAPH geo WALK FROM {T + 2} DEPTH 2 DIRECTION incoming LIMIT 40")
+
+
+@query(f"WITH {GEO}, e AS (SELECT * FROM geo_edge), {DISCOVERY.format(seed=f'{T}*1 + 2', at='dst', to='src')} SELECT element, depth, rank FROM found WHERE rank > 0")
+def walk_nodes(spark, d):
+    return X.geo(spark, d).graph("geo").walk([T + 2], 2, "incoming").nodes
+
+
+# -- definitions, builders and writing ----------------------------------------------------------------
+@query("""SELECT * FROM (VALUES ('roles', 'source', 1::BIGINT), ('roles', 'target', 2), ('labels', 'Region', 1), ('labels', 'Nation', 2), ('labels', 'Customer', 3), ('labels', 'Supplier', 4), ('relation_types', 'CustomerIn', 1), ('relation_types', 'SupplierIn', 2), ('relation_types', 'PartOf', 3),
+('property_keys', 'segment', 1), ('property_keys', 'name', 2), ('property_keys', 'solvent', 3), ('property_keys', 'nation', 4), ('property_keys', 'rating', 5), ('projections', 'geo', 1), ('projections', 'customers', 2), ('projections', 'geo_hyper', 3),
+('indexes', 'segment_eq', 1), ('indexes', 'nation_range', 2), ('indexes', 'segment_nation', 3), ('indexes', 'suppliers', 4), ('indexes', 'customers_members', 5), ('indexes', 'rating_eq', 6)) t(kind, name, id)""")
+def catalog_definitions(spark, d):
+    """Everything defined, after a schema that adds a key and an index was applied twice."""
+    schema = Schema(labels=("Region",), property_keys=(("rating", "element", "integer"),), indexes=(("rating_eq", "equality", ("rating",)),))
+    c = schema.apply(schema.apply(X.geo(spark, d).catalog))
+    rows = [(kind, name, v if isinstance(v, int) else getattr(v, {"property_keys": "key_id", "projections": "projection_id", "indexes": "index_id"}[kind])) for kind in c.summary() for name, v in getattr(c, kind).items()]
+    return spark.createDataFrame(rows, "kind string, name string, id long")
+
+
+@query(f"WITH {GEO}, m AS (SELECT max(element_id) AS m FROM geo_label) SELECT m + n AS element_id, 'new' || n AS name FROM m, range(1, 4) t(n)")
+def create_after_tombstone(spark, d):
+    """The highest element goes; the next ones do not get its id again."""
+    store = X.geo(spark, d)
+    store = store.without(0, store.elements.agg(F.max("element_id").alias("subject_id")))
+    return store.add_elements(spark.createDataFrame([(f"new{i}",) for i in (1, 2, 3)], "name string"), ["name"])[1].select("element_id", "name")
+
+
+@query(f"WITH {GEO} SELECT edge AS relation_id, CASE WHEN type = 2 AND edge % 2 = 0 THEN 3 ELSE type END AS relation_type_id FROM geo_edge")
+def relation_types_set(spark, d):
+    """Two rows for each even supplier relation; the one with the greater seq wins."""
+    store = X.geo(spark, d)
+    even = store.relations_of_type("SupplierIn").where("relation_id % 2 = 0")
+    return store.set_relation_type(even.select("relation_id", F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit(3).cast("long").alias("relation_type_id")), F.struct(F.lit(1).alias("seq"), F.lit(1).cast("long").alias("relation_type_id")))).alias("r")).select("relation_id", "r.*")).relations
+
+
+@query(f"WITH {GEO} SELECT element_id, label_id FROM geo_label UNION SELECT {T}*3 + c_custkey, 4 FROM customer WHERE c_nationkey = 7")
+def labels_added(spark, d):
+    store = X.geo(spark, d)
+    more = store.lookup_equal("nation", 7).select(F.col("subject_id").alias("element_id"), F.lit(4).cast("long").alias("label_id"))
+    return store.add_labels(0, more).element_labels
+
+
+@query(f"SELECT {T}*3 + c_custkey AS subject_id, CASE WHEN c_nationkey = 7 THEN 'LAST' ELSE c_mktsegment END AS text_value FROM customer")
+def properties_set(spark, d):
+    """Of several values for one customer the last one counts."""
+    store = X.geo(spark, d)
+    of = F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit("LAST").alias("value")), F.struct(F.lit(1).alias("seq"), F.lit("ZZZ").alias("value"))))
+    store = store.set_properties("segment", store.lookup_equal("nation", 7).where("subject_id < 4 * 4294967296").select("subject_id", of.alias("v")).select("subject_id", "v.*"))
+    return store.properties.where("key_id = 1").select("subject_id", "text_value")
+
+
+@query(f"SELECT {T}*3 + c_custkey AS subject_id, c_mktsegment AS text_value FROM customer WHERE c_nationkey <> 7")
+def properties_unset(spark, d):
+    store = X.geo(spark, d)
+    return store.unset_properties("segment", store.lookup_equal("nation", 7)).properties.where("key_id = 1").select("subject_id", "text_value")
+
+
+@query(f"WITH {GEO}, seg AS (SELECT c_mktsegment AS value, dense_rank() OVER (ORDER BY c_mktsegment) AS n, c_custkey FROM customer), m AS (SELECT max(edge) AS m FROM geo_edge) SELECT DISTINCT value, m + n AS relation_id, {T}*3 + min(c_custkey) OVER (PARTITION BY value) AS element_id FROM seg, m")
+def relations_upserted(spark, d):
+    """A relation for each segment, from its first customer to itself; a second upsert finds them again."""
+    store = X.geo(spark, d)
+    store = store.with_catalog(store.catalog.property_key("code", "relation", "text").index("code_eq", "equality", "code"))
+    first = X.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg((F.min("c_custkey") + 3 * T).alias("element_id")).withColumn("role_id", F.lit(1).cast("long"))
+    store, _ = store.upsert_relations("code_eq", first, "PartOf")
+    store, got = store.upsert_relations("code_eq", first, "PartOf")
+    return got.join(store.incidences.select("relation_id", "element_id"), "relation_id").select("value", "relation_id", "element_id")
+
+
+@query("SELECT * FROM (VALUES ('created', 0, false, 0::BIGINT), ('filled', 1, false, 25), ('unchanged', 1, true, 25), ('failed', 1, false, 25), ('removed', 2, false, 20)) t(step, version, empty, elements)")
+def write_versions(spark, d):
+    """Transactions on a store in a folder: a commit, one without changes, one that fails, and another."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    nations = X.table(spark, d, "nation").select("n_name", "n_regionkey")
+    store = GraphStore.create(spark, path)
+    steps = [("created", 0, False, store.elements.count())]
+
+    def fail(store: GraphStore) -> GraphStore:
+        store.without(0, store.elements.select(F.col("element_id").alias("subject_id")))
+        raise ArithmeticError
+
+    for step, change in (("filled", lambda s: s.add_elements(nations, ["n_name"])[0]), ("unchanged", lambda s: s.add_elements(nations.limit(0), ["n_name"])[0]), ("failed", fail), ("removed", lambda s: s.without(0, s.elements.where("element_id <= 5").select(F.col("element_id").alias("subject_id"))))):
+        try:
+            done = GraphStore.write(spark, path, change)
+            steps.append((step, done.version, done.empty, done.store.elements.count()))
+        except ArithmeticError:
+            steps.append((step, steps[-1][1], False, GraphStore.open(spark, path).elements.count()))
+    return spark.createDataFrame(steps, "step string, version int, empty boolean, elements long")
+
+
+@query("SELECT n_nationkey + 5 AS src, n_regionkey AS dst, n_nationkey::DOUBLE + 1 AS weight FROM nation")
+def builder_edges(spark, d):
+    """Regions and nations typed in through the builder; small tables only."""
+    b = GraphBuilder(spark)
+    for r in X.table(spark, d, "region").orderBy("r_regionkey").collect():
+        b.add_node(r["r_name"])
+    for n in X.table(spark, d, "nation").orderBy("n_nationkey").collect():
+        b.add_edge(b.add_node(f"nation {n['n_name']}"), n["n_regionkey"])
+    b.set_weights([i + 1 for i in range(len(b.edges))])
+    return b.freeze().edges.select("src", "dst", "weight")
+
+
+@query("WITH s AS (SELECT r_regionkey AS relation_id, r_regionkey AS incidence_id, r_regionkey AS element_id, 'source' AS side FROM region) SELECT * FROM s UNION ALL SELECT n_regionkey, (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1, 5 + n_nationkey, 'target' FROM nation")
+def builder_hyperedges(spark, d):
+    """A hyperedge for each region: itself as source, its nations as targets."""
+    b = HypergraphBuilder(spark)
+    nations = X.table(spark, d, "nation").orderBy("n_nationkey").collect()
+    regions = X.table(spark, d, "region").orderBy("r_regionkey").collect()
+    for r in regions:
+        b.add_vertex(r["r_name"])
+    for n in nations:
+        b.add_vertex(f"nation {n['n_name']}")
+    for r in regions:
+        b.add_hyperedge([r["r_regionkey"]], [5 + n["n_nationkey"] for n in nations if n["n_regionkey"] == r["r_regionkey"]])
+    return b.freeze().sides.select("relation_id", "incidence_id", "element_id", "side")
+
+
+@query(f"SELECT 1 AS subject_kind, {T}*4 + s_suppkey AS subject_id FROM supplier WHERE s_suppkey = 3")
+def relation_point_read(spark, d):
+    return X.geo(spark, d).relation(4 * T + 3).select(F.lit(1).alias("subject_kind"), F.col("relation_id").alias("subject_id"))
+
+
+@query(f"WITH {GEO} SELECT DISTINCT 0 AS subject_kind, element_id AS subject_id FROM geo_inc UNION ALL SELECT DISTINCT 1, relation_id FROM geo_inc UNION ALL SELECT 2, incidence_id FROM geo_inc")
+def hyper_projection_members(spark, d):
+    return X.geo(spark, d).projection_members("geo_hyper")
+
+
+@query("SELECT 'suppliers' AS name, (SELECT count(*) FROM supplier) AS members UNION ALL SELECT 'customers_members', (SELECT count(*) FROM customer) * 2 + (SELECT count(DISTINCT c_nationkey) FROM customer)")
+def index_counts(spark, d):
+    store = X.geo(spark, d)
+    return spark.createDataFrame([(i, store.count(i)) for i in ("suppliers", "customers_members")], "name string, members long")
+
+
+@query(f"SELECT {T}*3 + c_custkey AS subject_id, 1::BIGINT AS key_id, CASE WHEN c_nationkey = 3 THEN 'NEW' ELSE c_mktsegment END AS text_value FROM customer WHERE c_nationkey <> 4")
+def property_scan_merged(spark, d):
+    """Properties under a delta of changed and removed ones, by subject kind, subject and key."""
+    base = X.geo(spark, d).properties.where("key_id = 1").select("subject_kind", "subject_id", "key_id", "text_value")
+    of = X.table(spark, d, "customer").select((F.col("c_custkey") + 3 * T).alias("subject_id"), "c_nationkey")
+    delta = base.join(of, "subject_id").where("c_nationkey IN (3, 4)").select("subject_kind", "subject_id", "key_id", F.lit("NEW").alias("text_value"), (F.col("c_nationkey") == 4).alias("gone"))
+    return merged(base, delta, ["subject_kind", "subject_id", "key_id"]).select("subject_id", "key_id", "text_value")
+
+
+# -- more of hypergraphs ------------------------------------------------------------------------------
+@query(f"WITH {ORDERS} SELECT DISTINCT b.element_id AS src, a.element_id AS dst FROM side a JOIN side b USING (relation_id) WHERE a.side = 'source' AND b.side = 'target'")
+def hyper_predecessors(spark, d):
+    return X.order_hyper(spark, d).hypergraph("orders").predecessors()
+
+
+@query(f"WITH {ORDERS} SELECT relation_id, row_number() OVER (ORDER BY relation_id) - 1 AS local_idx FROM orel")
+def relation_local_ids(spark, d):
+    return X.order_hyper(spark, d).hypergraph("orders").local_ids("relation")
+
+
+@query(f"WITH {ORDERS} SELECT incidence_id, row_number() OVER (ORDER BY incidence_id) - 1 AS local_idx FROM side")
+def incidence_local_ids(spark, d):
+    return X.order_hyper(spark, d).hypergraph("orders").local_ids("incidence")
+
+
+def _hyper_seeded() -> str:
+    body = pagerank_sql(ORDERS, HYPER_STATES, HYPER_EDGES.format(w="1.0"), f"SELECT id, 1.0::DOUBLE AS t FROM ({HYPER_STATES}) WHERE id IN ({2 * (3 * T + 1)}, {2 * (3 * T + 2)})", HYPER_ROUNDS)
+    return body.rsplit(" SELECT id AS element", 1)[0] + f" SELECT id // 2 AS element, round(rank, 8) AS rank FROM r{HYPER_ROUNDS} WHERE id % 2 = 0"
+
+
+@query(_hyper_seeded())
+def hyper_pagerank_personalized(spark, d):
+    got = X.order_hyper(spark, d).hypergraph("orders").personalized_pagerank([3 * T + 1, 3 * T + 2, 5], max_iterations=HYPER_ROUNDS, fixed=True)
+    return got.elements.select("element", F.round("rank", 8).alias("rank"))
+
+
+@query(hyper_sql("element").replace("element_id*2, 1.0 FROM side WHERE side = 'target'", "element_id*2, 1 + element_id % 3 FROM side WHERE side = 'target'"))
+def hyper_pagerank_incidence_weights(spark, d):
+    h = X.order_hyper(spark, d).hypergraph("orders")
+    h = HyperGraph(h.sides.withColumn("weight", 1.0 + F.col("element_id") % 3), h.vertices, h.relations)
+    return h.pagerank(max_iterations=HYPER_ROUNDS, fixed=True).elements.select("element", F.round("rank", 8).alias("rank"))
+
+
+# -- more of relational graphs --------------------------------------------------------------------------
+@query("SELECT * FROM (VALUES (1, 2, 1, 'orders', 'o_orderkey', 'o_custkey')) t(edge_id, source_table, target_table, name, source_column, target_column)")
+def registration_rows(spark, d):
+    """Registrations written as rows and read back."""
+    return Registry.load(REGISTRY.rows(spark)).rows(spark)["edges"]
+
+
+@query(f"WITH e AS (SELECT {T}*2 + o_orderkey AS src, {T} + o_custkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey) SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge, src, dst FROM e")
+def relational_build(spark, d):
+    return RelationalGraph.build(REGISTRY, _tables(spark, d)).edges
+
+
+@query(f"WITH {activity_sql()}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM node), e AS (SELECT a.n AS src, b.n AS dst FROM act JOIN k a ON a.id = src JOIN k b ON b.id = dst) SELECT (SELECT count(*) FROM node) AS nodes, count(*) AS edges, sum(src) AS sources, sum(dst) AS targets FROM e")
+def dense_edges_graph(spark, d):
+    e = X.activity(spark, d).edges.select("src", "dst")
+    ids = dense_nodes(e)
+    dense = e.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    g = RelationalGraph.from_dense_edges(dense)
+    return g.edges.agg(F.count("*").alias("edges"), F.sum("src").alias("sources"), F.sum("dst").alias("targets")).crossJoin(g.nodes.agg(F.count("*").alias("nodes")))  # one row each
+
+
+@query(f"WITH {activity_sql()}, {LOG.split('live AS')[0].rstrip().rstrip(',')}, k AS (SELECT id FROM node UNION SELECT x FROM log WHERE a IN (1, 5) UNION SELECT y FROM log WHERE a IN (1, 5)), m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM k) SELECT seq AS sequence, a AS action_type, CASE WHEN a IN (1, 5) THEN mx.n ELSE x END AS arg0, CASE WHEN a IN (1, 5) THEN my.n END AS arg1 FROM log LEFT JOIN m mx ON mx.id = x LEFT JOIN m my ON my.id = y")
+def sync_resolved(spark, d):
+    """The change log with dense ids for its node keys."""
+    log = X.event_log(spark, d)
+    return resolved(log, sync_nodes(X.activity(spark, d).edges, log))
+
+
+@query(f"WITH c AS (SELECT 1 AS action_type, {T}*2 + o_orderkey AS arg0, {T} + o_custkey AS arg1 FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 5, {T}*2 + o_orderkey, {T} + o_custkey FROM orders WHERE o_orderkey % 7 = 1) SELECT row_number() OVER (ORDER BY action_type, arg0, arg1) AS sequence, * FROM c")
+def captured_changes(spark, d):
+    """Orders written and deleted, as rows of the change log."""
+    orders = X.table(spark, d, "orders")
+    return captured(orders.where("o_orderkey % 7 = 0"), orders.where("o_orderkey % 7 = 1"), REGISTRY.edges[0])
+
+
+@query(traverse_sql(" UNION ALL SELECT 1000000000 + sequence, src, dst FROM added").replace("SELECT DISTINCT src AS a, dst AS b FROM act", "SELECT DISTINCT dst AS a, src AS b FROM act"))
+def traverse_incoming(spark, d):
+    return _traverse(spark, d, direction="in")
+
+
+@query(f"WITH {activity_sql()}, e AS (SELECT * FROM act), {DISCOVERY.format(seed='(SELECT min(src) FROM act)', at='src', to='dst')} SELECT element, rank AS pos FROM found WHERE rank < 30")
+def traverse_function(spark, d):
+    """The first ids that the traverse function returns, in their order."""
+    g = _events_graph(spark, d)
+    ids = g.graph_traverse(g.nodes.agg(F.min("node")).first()[0], 30, 2)
+    return spark.createDataFrame([(e, i) for i, e in enumerate(ids)], "element long, pos long")
+
+
+@query(f"WITH {activity_sql()}, e AS (SELECT * FROM act), {DISCOVERY.format(seed='(SELECT min(src) FROM act)', at='src', to='dst')} SELECT least(25, count(*)) AS visited FROM found")
+def visited_under_limit(spark, d):
+    """Without an order the limit holds too."""
+    g = _events_graph(spark, d)
+    start = g.nodes.agg(F.min("node")).first()[0]
+    return g.traverse([start], 25, 2, ordered=False).agg(F.count("*").alias("visited"))
+
+
+@query()
+def seeded_graph_depth_three(spark, d):
+    """10,000 nodes with hubs, three hops from the greatest one; a graph of its own, no table is read."""
+    return X.seeded_graph(spark).bfs_bounded([0], 3, include_seeds=True)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier_two_hops(spark, sf_dir)
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import cut, forget, stored  # noqa: F401  the operators take them from here
+
 #: Rows and bytes of one Arrow batch: a bound on what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
@@ -21,6 +23,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(name: str, *used: list[str]) -> str:
+    """The name, with as many underscores more as it takes to differ from the columns in use."""
+    taken = {c.lower() for columns in used for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One call of fn for each Arrow batch; fn must not keep state that results depend on."""
     small_batches(df.sparkSession)
@@ -77,21 +87,6 @@ def bounded(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder that the cluster names.
-
-    The setting is read from the session; only where it is unset, as in tests, a
-    folder under the warehouse is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files and checkpoints that nothing refers to any more.
 
@@ -136,9 +131,10 @@ def maybe_in(rows: DataFrame, hash_col: str, table: DataFrame, flag: str) -> Dat
     It may flag others too, never misses one, and spares shuffles; an exact join
     or grouping has to follow. The table is broadcast, its size is fixed.
     """
-    c = F.col(hash_col)
-    found = F.expr(f"shiftrightunsigned(get(__words, CAST(shiftright({hash_col}, 6) & 511L AS INT)), CAST({hash_col} & 63L AS INT)) & 1L")
-    joined = rows.join(F.broadcast(table), F.pmod(F.shiftright(c, 15), F.lit(SLOTS)).cast("int") == F.col("__slot"), "left")
+    slot, words = fresh("__slot", rows.columns), fresh("__words", rows.columns)
+    c, h = F.col(f"`{hash_col}`"), f"`{hash_col}`"
+    found = F.expr(f"shiftrightunsigned(get({words}, CAST(shiftright({h}, 6) & 511L AS INT)), CAST({h} & 63L AS INT)) & 1L")
+    joined = rows.join(F.broadcast(table.toDF(slot, words)), F.pmod(F.shiftright(c, 15), F.lit(SLOTS)).cast("int") == F.col(slot), "left")
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(found == 1, F.lit(False)).alias(flag))
 
 
@@ -148,9 +144,10 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     Only rows that may be in gone meet it in a shuffled join; the rest stay where
     they are. All columns and repeated rows are kept.
     """
-    ids = gone.select(F.col(f"`{gone.columns[0]}`").alias("__gone_id")).distinct()
-    hashed = docs.withColumn("__id_hash", F.xxhash64(F.col(f"`{id_col}`")))
-    marked = maybe_in(hashed, "__id_hash", hash_filter(ids.select(F.xxhash64("__gone_id").alias("h"))), "__maybe")
+    id_hash, gone_id, maybe = (fresh(n, docs.columns) for n in ("__id_hash", "__gone_id", "__maybe"))
+    ids = gone.select(F.col(f"`{gone.columns[0]}`").alias(gone_id)).distinct()
+    hashed = docs.withColumn(id_hash, F.xxhash64(F.col(f"`{id_col}`")))
+    marked = maybe_in(hashed, id_hash, hash_filter(ids.select(F.xxhash64(gone_id).alias("h"))), maybe)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = marked.where("__maybe").join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")), "left_anti")
-    return marked.where("NOT __maybe").select(*columns).unionByName(maybe.select(*columns))
+    left = marked.where(F.col(maybe)).join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)), "left_anti")
+    return marked.where(~F.col(maybe)).select(*columns).unionByName(left.select(*columns))

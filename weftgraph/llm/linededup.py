@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, hash_filter, maybe_in, pick, stored
+from weftgraph.llm.common import cut, fresh, hash_filter, maybe_in, pick, stored
 
 EDITS = 2
 MIN_CHARS = 20
@@ -284,10 +284,11 @@ def dropped_by_document(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CH
 def remove_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of the text; all columns and rows stay."""
     _, dropped = dropped_lines(docs, k, min_chars, id_col, text_col)
-    lists = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("no", "h")).alias("__gone")).withColumnRenamed("doc_id", "__own_id")
+    gone, own_id = fresh("__gone", docs.columns), fresh("__own_id", docs.columns)
+    lists = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("no", "h")).alias(gone)).withColumnRenamed("doc_id", own_id)
     of = {c: docs[f"`{c}`"] for c in docs.columns}
-    joined = docs.join(lists, of[id_col].eqNullSafe(lists["__own_id"]), "left")
+    joined = docs.join(lists, of[id_col].eqNullSafe(lists[own_id]), "left")
     parts = F.split(of[text_col], "\n", -1)
-    left = F.filter(parts, lambda s, i: ~F.array_contains(F.col("__gone"), F.struct(i.alias("no"), F.xxhash64(s).alias("h"))))
-    text = F.when(F.col("__gone").isNull(), of[text_col]).otherwise(F.array_join(left, "\n"))
+    left = F.filter(parts, lambda s, i: ~F.array_contains(F.col(gone), F.struct(i.alias("no"), F.xxhash64(s).alias("h"))))
+    text = F.when(F.col(gone).isNull(), of[text_col]).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else of[c] for c in docs.columns])

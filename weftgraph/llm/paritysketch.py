@@ -19,8 +19,9 @@ with it. Candidates are verified on the exact shingle sets and their links are
 contracted. Large buckets that still hold several components are packed into
 blocks, a row for each BLOCK members, and blocks are compared as wholes: pairs of
 different components whose parity bits allow a link join them in a forest, whose
-edges are verified. Where one of these fails, a second comparison lists every pair
-that is still in different components. Each node has a home, its largest bucket;
+edges are verified. Where one of these fails, it may hide a link between components
+of its tree, and a second comparison lists every pair among these that is still in
+different components. Each node has a home, its largest bucket;
 two nodes of one home are compared there and not again in other buckets. So every
 link is found or lies inside a component, and no pair is a row before its sketches
 allow a link.
@@ -29,23 +30,25 @@ Hot parts are found on a fixed sample of nodes; their rows are known to have
 partners and need not be shuffled to find them. Everything else covers all rows.
 
 Defined cases: null and empty texts have an empty set and link with nothing, as
-do rows with a null id; a text of fewer words than a shingle is one shingle;
-repeated rows are equal sets. Shingles and sets are known by 64-bit hashes.
+do rows with a null id; a text of fewer words than a shingle is one shingle; texts
+of any length are one set; repeated rows are equal sets; a similarity that equals the
+threshold links. Empty tables give empty results. Columns besides the id and the text
+are not read, whatever they are called; keep_one() returns them as they are. Shingles
+and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import byte_texts, checked_broadcast, cut, give_back, hash_filter, map_arrow, maybe_in, pick, release, small_batches, without_ids
+from weftgraph.llm.common import byte_texts, checked_broadcast, cut, forget, give_back, hash_filter, map_arrow, maybe_in, pick, release, small_batches, stored, without_ids
 from weftgraph.operators.components import connected
 
 CACHE_WORDS = 120_000
@@ -146,12 +149,12 @@ def _strong(parts: np.ndarray, slack: int) -> np.ndarray:
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each of a power of two of bits, at least four times their number.
+    """Parity of the shingles at each of a power of two of bits, at least twice their number.
 
     Halves can be folded by XOR, so sketches of any two sizes compare; their Hamming
     distance is at most the difference of the sets.
     """
-    m = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    m = max(64, 1 << (2 * len(shingles) - 1).bit_length())
     return np.packbits((np.bincount(((shingles >> np.uint64(7)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little")
 
 
@@ -227,32 +230,18 @@ def part_keys(nodes: DataFrame, join: Join, turn: int | None = None) -> DataFram
         return map_arrow(nodes.select("node", "band", "upper", "lower"), one, "key bigint, node bigint")
 
 
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key occurs twice; holds one row between batches."""
-    key = node = None
-    pending = False  # whether the held row is still to be told
-    for batch in batches:
-        k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(k):
-            continue
-        same = np.zeros(len(k), bool)
-        same[1:] = k[1:] == k[:-1]
-        same[0] = key is not None and k[0] == key
-        keep = same.copy()
-        keep[:-1] |= same[1:]
-        out_k, out_v = k[keep], v[keep]
-        if same[0] and pending:
-            out_k, out_v = np.append(out_k, key), np.append(out_v, node)
-        pending = not keep[-1]
-        key, node = k[-1], v[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_v)], names=["key", "node"])
-
-
 def shared_parts(keys: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows of keys that two nodes have; hot keys are known to be such."""
+    """(key, node, size): the rows of keys that two nodes have, with the number of these.
+
+    Hot keys are counted where they are, with map-side combining, and their rows are
+    not shuffled; other keys meet in a shuffle and are counted there.
+    """
     spark = keys.sparkSession
-    known = [r[0] for r in hot.collect()]  # at most HOT_KEYS
-    hots = checked_broadcast(spark, np.array(sorted(known), np.int64), 8 * len(known))
+    known = np.array(sorted(r[0] for r in hot.collect()), np.int64)  # at most HOT_KEYS
+    size = F.count("*").over(Window.partitionBy("key")).alias("size")
+    if not len(known):
+        return keys.select("key", "node", size).where("size > 1")
+    hots = checked_broadcast(spark, known, 8 * len(known))
 
     def mark(want: bool):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -262,10 +251,9 @@ def shared_parts(keys: DataFrame, hot: DataFrame) -> DataFrame:
         return run
 
     schema = "key bigint, node bigint"
-    cold = map_arrow(keys, mark(False), schema) if known else keys
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = cold.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared_rows, schema)
-    return rest.unionByName(map_arrow(keys, mark(True), schema)) if known else rest
+    warm = map_arrow(keys, mark(True), schema)
+    counts = F.broadcast(warm.groupBy("key").agg(F.count("*").alias("size")))  # at most HOT_KEYS rows
+    return map_arrow(keys, mark(False), schema).select("key", "node", size).where("size > 1").unionByName(warm.join(counts, "key").select("key", "node", "size"))
 
 
 def links(edges: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -358,24 +346,24 @@ def _compare(left: list, right: list, same: bool, key: int, num: int, forest: bo
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(sized: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+def candidates(sized: DataFrame, nodes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of small buckets that share enough words, and the stars (a, b) of large ones.
 
-    sized has key, node, size (of the bucket), n and band. A pair with d shingles
-    in only one set at most shares all but d of the words of its pair of bands;
-    some of them may be empty, and some in large buckets, which are not listed.
+    sized has key, node and size (of the bucket), nodes has node, n and band. A pair
+    with d shingles in only one set at most shares all but d of the words of its pair
+    of bands; some of them may be empty, and some in large buckets, which are not
+    listed.
     """
     lows = join.lows()
-    needed = [max(p - s, 0) for p, s in (join.parts(lows, i) for i in range(min(PAIR_MASK, len(lows) - 2)))]
+    needed = [max(p - s, 0) for p, s in (join.parts(lows, i) for i in range(len(lows) - 2))] or [0]
     pair = F.col("key").bitwiseAND(F.lit(PAIR_MASK).cast("long")).cast("int") - 1
     small = sized.where(F.col("size") <= SMALL)
     big = sized.where(F.col("size") > SMALL)
     hidden = big.groupBy("node", pair.alias("pair")).agg(F.count("*").alias("hidden"))
-    side = lambda x: small.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"))
-    shared = (
-        side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.least("banda", "bandb") == pair))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(pair).alias("pair"))
-    )
+    shared = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
+    shared = shared.groupBy("a", "b", pair.alias("pair")).agg(F.count("*").alias("shared"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"))
+    shared = shared.join(side("a"), "a").join(side("b"), "b").where(F.least("banda", "bandb") == F.col("pair"))
     shared = shared.join(hidden.toDF("a", "pair", "ha"), ["a", "pair"], "left").join(hidden.toDF("b", "pair", "hb"), ["b", "pair"], "left")
     most = F.floor((F.col("na") + F.col("nb")) * (100 - join.num) / (100 + join.num))
     least = F.get(F.array(*[F.lit(x).cast("long") for x in needed]), F.col("pair")) - most
@@ -394,14 +382,14 @@ def residual(big: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join, fo
     named = big.join(labels, "node", "left").select("key", "node", "home", F.coalesce("label", "node").alias("label"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "home")]
     several = named.groupBy("key").agg(*ends, F.count("*").alias("size")).where("min_label < max_label AND (min_home < max_home OR min_home = key)").select("key", "size")
-    large = cut(named.join(several, "key"))
+    large = stored(named.join(several, "key"))
     if large.isEmpty():
         return large.select(F.col("node").alias("a"), F.col("node").alias("b"))
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     full = large.join(nodes.select("node", "n", "bits"), "node")
     dealt = full.select("key", "size", F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("i"), F.struct("node", "label", "n", "home", "bits").alias("row"))
     # About BLOCK rows in each: a hash deals the members, so no block gathers a whole bucket.
-    blocks = cut(dealt.groupBy("key", "i").agg(F.collect_list("row").alias("rows"), F.first("size").alias("size")))
+    blocks = dealt.groupBy("key", "i").agg(F.collect_list("row").alias("rows"), F.first("size").alias("size"))
     j = F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("j")
     meet = blocks.select("key", "i", j, "rows").select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "rows")
     small_batches(big.sparkSession)
@@ -418,39 +406,54 @@ def residual(big: DataFrame, labels: DataFrame, nodes: DataFrame, join: Join, fo
     return meet.groupBy("key", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def suspects(big: DataFrame, labels: DataFrame, forest: DataFrame, links_: DataFrame) -> DataFrame:
+    """The rows of big whose component is in a tree of the forest (a, b) with an edge that is no link."""
+    def named(df: DataFrame, c: str, name: str) -> DataFrame:
+        return df.join(labels.toDF(c, "__label"), c, "left").select("*", F.coalesce("__label", c).alias(name)).drop("__label")
+
+    edges = named(named(forest, "a", "la"), "b", "lb")
+    trees = connected(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).toDF("la", "tree")
+    bad = edges.join(links_, ["a", "b"], "left_anti").join(trees, "la").select("tree").distinct()
+    return named(big, "node", "la").join(trees.join(bad, "tree", "left_semi"), "la", "left_semi").select(*big.columns)
+
+
 def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs.
 
     component_id is the smallest doc_id reachable by links, class_id the smallest
     with an equal set.
     """
+    spark = docs.sparkSession
     base = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    sets = cut(shingle_sets(base, join))
-    member = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    classes = member.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    whole = stored(shingle_sets(base, join))
+    sets = stored(whole.select("doc_id", "n", "node"))
+    member = whole.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    classes = sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     # A node's sketches are those of any row with its set. Only sets that may occur
     # twice are shuffled, and combined before that.
     may = member.where((F.octet_length("upper") > 0) | (F.octet_length("lower") > 0))
     again = hash_filter(may.groupBy("node").count().where("count > 1").select(F.col("node").alias("h")))
     marked = maybe_in(may, "node", again, "again").withColumnRenamed("doc_id", "rep")
     columns = ["node", "rep", "n", "band", "bits", "upper", "lower"]
-    grouped = marked.where("again").groupBy("node").agg(F.min_by(F.struct(*columns[1:]), "rep").alias("r")).select("node", *[f"r.{c}" for c in columns[1:]])
-    nodes = marked.where("NOT again").select(*columns).unionByName(cut(grouped))
-    sample = part_keys(nodes.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0), join)
+    grouped = stored(marked.where("again").groupBy("node").agg(F.min_by(F.struct(*columns[1:]), "rep").alias("r")).select("node", *[f"r.{c}" for c in columns[1:]]))
+    sketched = marked.where("NOT again").select(*columns).unionByName(grouped)
+    sample = part_keys(sketched.where(F.pmod(F.xxhash64("node"), F.lit(HOT_SAMPLE)) == 0), join)
     hot = sample.groupBy("key").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key")
     # Pairs of bands take turns, so that only a part of the words is on disk at once.
     turns = []
     for turn in range(PASSES):
-        turns.append(cut(shared_parts(part_keys(nodes, join, turn), hot)))
-        release(docs.sparkSession)
-    buckets = reduce(DataFrame.unionByName, turns)
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    sized = cut(buckets.join(sizes, "key").join(nodes.select("node", "n", "band"), "node"))
-    listed, stars = candidates(sized, join)
-    stars = cut(listed.unionByName(stars).distinct())
+        turns.append(stored(shared_parts(part_keys(sketched, join, turn), hot)))
+        release(spark)
+    nodes = stored(sketched.select("node", "rep", "n", "band", "bits"))
+    forget(whole, grouped)  # the sketches have done their work
+    sized = reduce(DataFrame.unionByName, turns)
+    listed, stars = candidates(sized, nodes, join)
+    stars = stored(listed.unionByName(stars).distinct())
     big = sized.where(F.col("size") > SMALL).select("key", "node", "size")
     homes = big.groupBy("node").agg(F.max_by("key", F.struct("size", "key")).alias("home"))
-    big = cut(big.join(homes, "node").select("key", "node", "home"))
+    big = stored(big.join(homes, "node").select("key", "node", "home"))
+    forget(*turns)
+    release(spark)
 
     holder: dict = {}
 
@@ -462,31 +465,35 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
 
     def verified(edges: DataFrame) -> DataFrame:
         """Links among candidates, on sets made anew from the few texts that are needed."""
-        edges = cut(may_link(edges, nodes, join))
-        release(docs.sparkSession)
+        edges = stored(may_link(edges, nodes, join))
         ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
         ids = cut(nodes.select("node", "rep").join(ends, "node", "left_semi").select("rep").distinct())
         hashed = base.withColumn("id_hash", F.xxhash64("doc_id"))
         near = maybe_in(hashed, "id_hash", hash_filter(ids.select(F.xxhash64("rep").alias("h"))), "near").where("near")
         exact = map_arrow(near.join(ids, near["doc_id"] == ids["rep"], "left_semi").select("text"), blobs, "node bigint, blob binary").where("node IS NOT NULL")
-        return cut(links(edges, cut(exact), join))
-
-    found = tried = None
-    for turn in range(3):
-        # Stars, then a forest of what joins components, then what a failed edge of it may hide.
-        listed = stars if turn == 0 else cut(residual(big, labels, nodes, join, forest=turn == 1))
-        if turn and listed.isEmpty():
-            break
-        asked = listed if tried is None else cut(listed.join(tried, ["a", "b"], "left_anti"))
-        got = verified(asked)
-        tried = asked if tried is None else tried.unionByName(asked)
-        found = got if found is None else found.unionByName(got)
-        labels = connected(found)
-        if turn == 1 and got.count() == listed.count():  # no edge of the forest failed, now or before
-            break
-    whole = classes.join(labels, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
-    least = whole.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = whole.join(least, "label").select("node", "class_id", "component_id")
+        exact = stored(exact)
+        out = cut(links(edges, exact, join))
+        forget(edges, ids, exact)
+        release(spark)
+        return out
+
+    # Stars, then a forest of what joins components, then what a failed edge of it may hide.
+    found = verified(stars)
+    labels = connected(found)
+    forest = cut(residual(big, labels, nodes, join, forest=True))
+    release(spark)
+    if not forest.isEmpty():
+        asked = cut(forest.join(stars, ["a", "b"], "left_anti"))
+        found = cut(found.unionByName(verified(asked)))
+        before, labels = labels, connected(found)
+        hidden = stored(suspects(big, before, forest, found))
+        rest = cut(residual(hidden, labels, nodes, join, forest=False).join(stars.unionByName(asked), ["a", "b"], "left_anti"))
+        release(spark)
+        if not rest.isEmpty():
+            labels = connected(found.unionByName(verified(rest)))
+    placed = classes.join(labels, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
+    least = placed.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    named = placed.join(least, "label").select("node", "class_id", "component_id")
     out = sets.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")

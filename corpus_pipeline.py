@@ -3,6 +3,14 @@
 Counted as part of the subpackage weftgraph.llm. Every stage takes (spark, docs,
 sf_dir) and works on all rows its predecessor kept; all but the last return the
 columns of documents.
+
+Defined cases: a null text scores as an empty one, has no line, links with nothing,
+holds no passage and encodes to no ids; texts of any length are taken whole; rows with
+a null doc_id stay as long as their text does; rows that repeat a doc_id are one
+document for line dedup, and one of them is left after the Jaccard stage; ties go to
+the smallest doc_id. Columns that documents has besides are kept, whatever they are
+called. Empty tables give empty results with the same columns; without labels nothing
+is rejected, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations

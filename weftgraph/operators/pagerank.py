@@ -131,7 +131,11 @@ def hyper_edges(sides: DataFrame, relation_weights: DataFrame | None = None) ->
 
 
 def hyper_pagerank(sides: DataFrame, elements: DataFrame, relations: DataFrame, relation_weights: DataFrame | None = None, personalization: DataFrame | None = None, **config) -> HyperRanks:
-    """Ranks over elements and relations together; personalization is (element, weight)."""
+    """Ranks over elements and relations together; personalization is (element, weight).
+
+    A distribution in config sees both legs at once: edges (src, dst, weight) from
+    elements (even ids) to relations (odd ids) and onward.
+    """
     states = elements.select((F.col(elements.columns[0]) * 2).alias("element")).unionByName(relations.select((F.col(relations.columns[0]) * 2 + 1).alias("element")))
     seeds = None if personalization is None else personalization.select((F.col(personalization.columns[0]) * 2).alias("element"), F.col(personalization.columns[1]).alias("weight"))
     got = pagerank(hyper_edges(sides, relation_weights), states, True, seeds, **config)

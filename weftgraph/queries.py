@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -713,6 +714,24 @@ def property_scan_merged(spark, d):
     return merged(base, delta, ["subject_kind", "subject_id", "key_id"]).select("subject_id", "key_id", "text_value")
 
 
+@query(f"""WITH {GEO} SELECT 'incidence without element' AS what, count(*) AS n FROM geo_inc WHERE element_id % 7 = 0
+UNION ALL SELECT 'label without element', count(*) FROM geo_label WHERE element_id % 7 = 0
+UNION ALL SELECT 'property without subject', (SELECT 3 * count(*) FROM customer WHERE ({T}*3 + c_custkey) % 7 = 0) + (SELECT 2 * count(*) FROM supplier WHERE ({T}*4 + s_suppkey) % 7 = 0) + (SELECT count(*) FROM nation WHERE ({T}*2 + n_nationkey) % 7 = 0) + (SELECT count(*) FROM region WHERE ({T}*1 + r_regionkey) % 7 = 0)
+UNION ALL SELECT 'repeated relation_id', count(*) FROM geo_edge WHERE type = 3""")
+def store_violations(spark, d):
+    """A store that lost elements without what hangs on them, and has relations twice."""
+    store = X.geo(spark, d)
+    broken = replace(store, elements=store.elements.where("element_id % 7 <> 0"), relations=store.relations.unionByName(store.relations.where("relation_type_id = 3")))
+    return broken.validate().groupBy("what").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {GEO}, m AS (SELECT max(element_id) AS m FROM geo_label) SELECT c_mktsegment AS value, {T}*3 + min(c_custkey) AS element_id FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'NEW' || n, m + n FROM m, range(1, 3) t(n)")
+def upserted_elements(spark, d):
+    """The element of each value: the first that has it, or a new one."""
+    values = X.table(spark, d, "customer").select(F.col("c_mktsegment").alias("value")).unionByName(spark.createDataFrame([("NEW1",), ("NEW2",)], "value string"))
+    return X.geo(spark, d).upsert_elements("segment_eq", values)[1]
+
+
 # -- more of hypergraphs ------------------------------------------------------------------------------
 @query(f"WITH {ORDERS} SELECT DISTINCT b.element_id AS src, a.element_id AS dst FROM side a JOIN side b USING (relation_id) WHERE a.side = 'source' AND b.side = 'target'")
 def hyper_predecessors(spark, d):

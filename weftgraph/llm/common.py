@@ -36,6 +36,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if resident_mb() > 300:  # what an earlier task left behind may hold itself in cycles
+            gc.collect()
+            give_back()
         for batch in batches:
             out = fn(batch)
             if out is not None:
@@ -58,6 +61,15 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(bound))
 
 
+def resident_mb() -> float:
+    """Memory of this process, or 0 where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+    except (OSError, ValueError, IndexError):
+        return 0.0
+
+
 def give_back() -> None:
     """Return free memory to the system: Python workers live on and serve later tasks."""
     pa.default_memory_pool().release_unused()

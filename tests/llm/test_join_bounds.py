@@ -48,3 +48,22 @@ def test_buckets_of_several_blocks(spark, monkeypatch):
         rows.append((i + 1, " ".join(copy)))
     got = paritysketch.near_duplicates(frame(spark, rows), Join(3, 90)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute.components(rows, 3, 90))
+
+
+def test_one_worker_for_each_task(spark, monkeypatch):
+    """No Python operator reads another's rows inside a task, hot parts included: each would hold a worker of its own."""
+    monkeypatch.setattr(paritysketch, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(paritysketch, "HOT_COUNT", 2)
+    plain, plans = paritysketch.map_arrow, []
+
+    def spied(df, *args):
+        plans.append(df._jdf.queryExecution().logical().toString())
+        return plain(df, *args)
+
+    monkeypatch.setattr(paritysketch, "map_arrow", spied)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:50], f"x{i}"]) for i in range(6)] + [" ".join(words[::-1]), "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in paritysketch.near_duplicates(docs).collect())
+    assert got == [*((i, 0) for i in range(6)), (6, 6), (7, 7)]
+    assert plans and not [p for p in plans if "MapInArrow" in p]

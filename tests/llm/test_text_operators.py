@@ -1,6 +1,8 @@
+import gc
 import hashlib
 import random
 import struct
+import weakref
 
 import brute
 import public_tokenizers
@@ -186,3 +188,25 @@ def test_without_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d")], "doc_id long, `x.y` string")
     left = lambda ids: sorted((r[0] is None, r[0] or 0) for r in without_ids(docs, "doc_id", spark.createDataFrame([(i,) for i in ids], "id long")).collect())
     assert left([2]) == [(False, 1), (True, 0)] and left([None]) == [(False, 1), (False, 2), (False, 2)] and len(left([])) == 4
+
+
+def test_codec_leaves_nothing_behind(codec):
+    """A closed codec is freed without the collector of cycles."""
+    gc.collect()
+    gc.disable()
+    try:
+        own = BpeCodec(codec.ranks, public_tokenizers.PATTERN)
+        own.encode("what an unusuallyy longish wordd it iss " * 3)
+        gone = weakref.ref(own)
+        own.close()
+        del own
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_caches_of_any_size(spark, reference):
+    texts = [" ".join(f"wo{i * j % 97}rd{i}" for j in range(50)) for i in range(20)]
+    for entries in (1, 7):
+        got = bpe.encode_documents(frame(spark, texts), public_tokenizers.path(VOCAB), public_tokenizers.PATTERN, entries=entries).collect()
+        assert all(struct.unpack(f"<{len(r['ids_le32']) // 4}I", r["ids_le32"]) == tuple(reference.encode_ordinary(texts[r["doc_id"]])) for r in got)

@@ -74,6 +74,11 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Hold nothing any more, the function included, so that no cycle goes through it."""
+        self.make = self.older = None
+        self.clear()
+
 
 class BpeCodec:
     """Encoder and decoder for one table of ranks and one split pattern.
@@ -82,19 +87,25 @@ class BpeCodec:
     joins and windows count the joins and those that encoded a window anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = 1):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = 1, entries: int = CACHE_ENTRIES):
         self.ranks = ranks
         self.leaf_bytes = max(1, leaf_bytes)
         self.tokens = {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.joins = self.windows = 0
-        self.match = Recent(self._match)
-        self.half = Recent(self._half)
-        self.window = Recent(self._window)
+        self.match = Recent(self._match, 2 * entries)
+        self.half = Recent(self._half, entries)
+        self.window = Recent(self._window, entries)
         top = max(self.tokens, default=0) + 1
         sizes = np.array([len(self.tokens.get(i, b"")) for i in range(top)], np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.text = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(17)]
+
+    def close(self) -> None:
+        """Free the caches at once: they refer to the codec, and a cycle stays until it is collected."""
+        for cache in (self.match, self.half, self.window):
+            cache.forget()
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Plain merging of a short byte string: lowest rank first, leftmost on ties."""
@@ -125,29 +136,28 @@ class BpeCodec:
         middle = known[window]
         if middle == window:  # a compatible pair: nothing changes
             return left + right
+        n, m = len(left), len(right)
         i = j = 1
         while True:
             self.windows += 1
-            settled_left = settled_right = True
-            if i < len(left):
-                pair = (left[-i - 1], middle[0])
-                settled_left = known[pair] == pair
-            if j < len(right):
-                pair = (middle[-1], right[j])
-                settled_right = known[pair] == pair
+            settled_left = i >= n or known[pair := (left[-i - 1], middle[0])] == pair
+            settled_right = j >= m or known[pair := (middle[-1], right[j])] == pair
             if settled_left and settled_right:
-                return left[: len(left) - i] + middle + right[j:]
-            i, j = (i if settled_left else min(2 * i, len(left))), (j if settled_right else min(2 * j, len(right)))
-            middle = known[left[len(left) - i :] + right[:j]]
+                return left[: n - i] + middle + right[j:]
+            i, j = (i if settled_left else min(2 * i, n)), (j if settled_right else min(2 * j, m))
+            middle = known[left[n - i :] + right[:j]]
 
     def halves(self, data: bytes) -> tuple[int, ...]:
         """A byte string by halves, down to single bytes; short halves are remembered."""
         return self.half[data] if len(data) <= 12 else self._half(data)
 
     def _half(self, data: bytes) -> tuple[int, ...]:
-        if len(data) <= self.leaf_bytes:
+        size = len(data)
+        if size <= self.leaf_bytes:
             return self.merge(data)
-        middle = len(data) // 2
+        middle = size // 2
+        if size <= 24:  # both halves are short
+            return self.join(self.half[data[:middle]], self.half[data[middle:]])
         return self.join(self.halves(data[:middle]), self.halves(data[middle:]))
 
     def _match(self, text: str) -> bytes:
@@ -155,7 +165,7 @@ class BpeCodec:
         data = text.encode()
         known = self.ranks.get(data)
         ids = self._half(data) if known is None else (known,)
-        return np.array(ids, "<u4").tobytes() if len(ids) > 8 else struct.pack(f"<{len(ids)}I", *ids)
+        return self.packs[len(ids)](*ids) if len(ids) <= 16 else np.array(ids, "<u4").tobytes()
 
     def _part(self, text: str) -> bytes:
         found = self.find(text)
@@ -200,13 +210,14 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
     """Encode every text whole and decode the ids again.
 
     Returns doc_id, ids_le32 (ids as little-endian unsigned 32-bit integers) and
     decoded (bytes), one row for each input row, repeated rows included. Null and
     empty texts give empty binaries. An empty table gives an empty table. Columns
-    besides the id and the text are not read.
+    besides the id and the text are not read. entries bounds the caches of a task:
+    fewer take less memory and more time, and the result is the same.
     """
     spark = docs.sparkSession
     ranks = read_ranks(vocab_path)
@@ -214,14 +225,18 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str
     holder: dict[str, BpeCodec] = {}
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = holder.get("codec") or holder.setdefault("codec", BpeCodec(shared.value, pattern))
+        codec = holder.get("codec") or holder.setdefault("codec", BpeCodec(shared.value, pattern, entries=entries))
         ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([codec.decode(x) for x in ids], pa.binary())],
             names=["doc_id", "ids_le32", "decoded"],
         )
 
-    return map_arrow(pick(docs, id_col, text_col), encode, SCHEMA)
+    def close() -> None:
+        if holder:
+            holder.pop("codec").close()
+
+    return map_arrow(pick(docs, id_col, text_col), encode, SCHEMA, close)
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:

@@ -31,19 +31,26 @@ def fresh(name: str, *used: list[str]) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One call of fn for each Arrow batch; fn must not keep state that results depend on."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """One call of fn for each Arrow batch; fn must not keep state that results depend on.
+
+    close is called when a task ends, to free what fn has kept for it.
+    """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if resident_mb() > 300:  # what an earlier task left behind may hold itself in cycles
             gc.collect()
             give_back()
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
-        give_back()
+        try:
+            for batch in batches:
+                out = fn(batch)
+                if out is not None:
+                    yield out
+        finally:
+            if close is not None:
+                close()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -39,6 +39,7 @@ and sets are known by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -201,10 +202,12 @@ def shingle_sets(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
     return map_arrow(pick(docs, id_col, text_col), one, SETS)
 
 
-def part_keys(nodes: DataFrame, join: Join, turn: int | None = None) -> DataFrame:
+def part_keys(nodes: DataFrame, join: Join, turn: int | None = None, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(key, node): a row for each emitted part; nodes has node, band, upper, lower.
 
-    With a turn, only those of every PASSES-th pair of bands.
+    With a turn, only those of every PASSES-th pair of bands; with keep, only those
+    whose keys it marks. It runs in the same worker: a second operator behind this
+    one would hold a second worker for each task.
     """
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -224,36 +227,32 @@ def part_keys(nodes: DataFrame, join: Join, turn: int | None = None) -> DataFram
                     owner.append(np.full(len(at), r))
         flat_keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         rows = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        if keep is not None:
+            kept = keep(flat_keys)
+            flat_keys, rows = flat_keys[kept], rows[kept]
         return pa.RecordBatch.from_arrays([pa.array(flat_keys), pa.array(batch.column(0).to_numpy()[rows] if len(rows) else np.zeros(0, np.int64))], names=["key", "node"])
 
     with np.errstate(over="ignore"):
         return map_arrow(nodes.select("node", "band", "upper", "lower"), one, "key bigint, node bigint")
 
 
-def shared_parts(keys: DataFrame, hot: DataFrame) -> DataFrame:
-    """(key, node, size): the rows of keys that two nodes have, with the number of these.
+def shared_parts(nodes: DataFrame, join: Join, turn: int, hot: DataFrame) -> DataFrame:
+    """(key, node, size): the rows of part_keys() that two nodes have, with the number of these.
 
     Hot keys are counted where they are, with map-side combining, and their rows are
     not shuffled; other keys meet in a shuffle and are counted there.
     """
-    spark = keys.sparkSession
+    spark = nodes.sparkSession
     known = np.array(sorted(r[0] for r in hot.collect()), np.int64)  # at most HOT_KEYS
     size = F.count("*").over(Window.partitionBy("key")).alias("size")
     if not len(known):
-        return keys.select("key", "node", size).where("size > 1")
+        return part_keys(nodes, join, turn).select("key", "node", size).where("size > 1")
     hots = checked_broadcast(spark, known, 8 * len(known))
 
-    def mark(want: bool):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            is_hot = np.isin(batch.column(0).to_numpy(), hots.value)
-            return batch.filter(pa.array(is_hot == want))
-
-        return run
-
-    schema = "key bigint, node bigint"
-    warm = map_arrow(keys, mark(True), schema)
+    warm = part_keys(nodes, join, turn, lambda keys: np.isin(keys, hots.value))
     counts = F.broadcast(warm.groupBy("key").agg(F.count("*").alias("size")))  # at most HOT_KEYS rows
-    return map_arrow(keys, mark(False), schema).select("key", "node", size).where("size > 1").unionByName(warm.join(counts, "key").select("key", "node", "size"))
+    cold = part_keys(nodes, join, turn, lambda keys: ~np.isin(keys, hots.value))
+    return cold.select("key", "node", size).where("size > 1").unionByName(warm.join(counts, "key").select("key", "node", "size"))
 
 
 def links(edges: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -442,7 +441,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     # Pairs of bands take turns, so that only a part of the words is on disk at once.
     turns = []
     for turn in range(PASSES):
-        turns.append(stored(shared_parts(part_keys(sketched, join, turn), hot)))
+        turns.append(stored(shared_parts(sketched, join, turn, hot)))
         release(spark)
     nodes = stored(sketched.select("node", "rep", "n", "band", "bits"))
     forget(whole, grouped)  # the sketches have done their work

@@ -210,3 +210,12 @@ def test_caches_of_any_size(spark, reference):
     for entries in (1, 7):
         got = bpe.encode_documents(frame(spark, texts), public_tokenizers.path(VOCAB), public_tokenizers.PATTERN, entries=entries).collect()
         assert all(struct.unpack(f"<{len(r['ids_le32']) // 4}I", r["ids_le32"]) == tuple(reference.encode_ordinary(texts[r["doc_id"]])) for r in got)
+
+
+def test_many_words_are_joined_once(codec):
+    """The cache of a task holds the words of a large vocabulary."""
+    own = BpeCodec(codec.ranks, public_tokenizers.PATTERN)
+    letters = "bcdfghjklmnpqrstvwxz"
+    text = " ".join("".join(letters[i // 20**k % 20] for k in range(4)) + "qx" for i in range(150_000))
+    first, joins = own.encode(text).tobytes(), own.joins
+    assert own.encode(text).tobytes() == first and own.joins == joins > 100_000

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import checked_broadcast, map_arrow, pick
 
 CHUNK_CHARS = 1 << 15
-CACHE_ENTRIES = 60_000
+CACHE_ENTRIES = 120_000
 SCHEMA = "doc_id bigint, ids_le32 binary, decoded binary"
 
 

@@ -45,6 +45,20 @@ def test_freshness(spark):
     assert nodes(g.traverse([0], max_depth=2, freshness="base_only")) == [0, 1]
 
 
+def test_no_cap_finds_everything(spark):
+    # A fan of three levels, inwards, wider than the default cap of a traversal.
+    pairs = [(1, 0), (2, 0)] + [(i, 1 + i % 2) for i in range(3, 10_503)]
+    g, whole = (dense(spark, pairs, None, [(1, 10_503, 3), (3, 5, None)], **c) for c in ({}, {"traverse_limit": None}))
+    want = {(0, 0), (1, 1), (2, 1), (10_503, 3)} | {(i, 2) for i in range(3, 10_503) if i != 5}
+    for ordered in (False, True):
+        got = [(r["element"], r["depth"]) for r in whole.traverse([0], None, direction="in", ordered=ordered).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert whole.visited_count(0, direction="in") == len(want) and len(nodes(whole.traverse([0], 7, direction="in"))) == 7
+    assert g.traverse([0], None, direction="in", ordered=False).count() == g.visited_count(0, direction="in") == 10_000
+    with pytest.raises(RegistrationError):
+        Config(traverse_limit=0)
+
+
 def test_tombstones(spark):
     g = dense(spark, [(0, 1), (1, 2)], None, [(2, 1, None)])
     assert nodes(g.traverse([0])) == [0, 1] and nodes(g.traverse([2], direction="in")) == [2]

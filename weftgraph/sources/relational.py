@@ -16,13 +16,15 @@ from weftgraph.session import cut, numbered
 
 @dataclass(frozen=True)
 class Config:
-    traverse_limit: int = 10_000
+    """Caps of what a call returns, as a server needs them; a traverse_limit of None is no cap."""
+
+    traverse_limit: int | None = 10_000
     search_limit: int = 10_000
     maintenance: bool = True
     freshness: str = "overlay_aware"
 
     def __post_init__(self):
-        if self.traverse_limit < 1 or self.search_limit < 1 or self.freshness not in ("overlay_aware", "base_only"):
+        if self.traverse_limit is not None and self.traverse_limit < 1 or self.search_limit < 1 or self.freshness not in ("overlay_aware", "base_only"):
             raise RegistrationError("limits must be positive and freshness overlay_aware or base_only")
 
 
@@ -316,25 +318,26 @@ class RelationalGraph:
     def visible_nodes(self) -> DataFrame:
         return self.nodes if self.overlay is None else self.nodes.join(self.overlay.dead_nodes, "node", "left_anti")
 
-    def traverse(self, seeds: list[int], limit: int = 100, max_depth: int | None = None, direction: str = "out", freshness: str | None = None, ordered: bool = True) -> DataFrame:
+    def traverse(self, seeds: list[int], limit: int | None = 100, max_depth: int | None = None, direction: str = "out", freshness: str | None = None, ordered: bool = True) -> DataFrame:
         """element, depth (and rank) from the seeds, which come first and count.
 
         A seed outside the graph is an error, a tombstoned one is left out. The limit
         holds with and without order; without, the level that it cuts gives its
-        smallest elements.
+        smallest elements. Without a limit only the configuration's cap holds, and
+        where that is None too, everything within the depth is found.
         """
         seeds = list(dict.fromkeys(max(0, int(s)) for s in seeds))
         if self.nodes.where(F.col("node").isin(seeds)).count() < len(seeds):
             raise UnknownElementError(f"seeds: {seeds}")
         alive = {r[0] for r in self.visible_nodes().where(F.col("node").isin(seeds)).collect()}
-        limit = min(max(1, limit), self.config.traverse_limit)
+        limit = min((n for n in (None if limit is None else max(1, limit), self.config.traverse_limit) if n is not None), default=None)
         depth = None if max_depth is None or max_depth <= 0 else max_depth
         way = "incoming" if direction == "in" else "outgoing"
         cap = {"limit": limit} if ordered else {"most": limit}
         return traversal.bfs(self.visible_edges(freshness), [s for s in seeds if s in alive], depth, way, True, ordered=ordered, **cap)
 
     def visited_count(self, seed: int, max_depth: int | None = None, direction: str = "out", freshness: str | None = None) -> int:
-        return self.traverse([seed], self.config.traverse_limit, max_depth, direction, freshness, ordered=False).count()
+        return self.traverse([seed], None, max_depth, direction, freshness, ordered=False).count()
 
     def search(self, start: int = 0, end: int = -1, limit: int = 100) -> DataFrame:
         """Visible nodes of a range, ascending: a negative start is 0, a negative end the start alone."""
@@ -345,7 +348,7 @@ class RelationalGraph:
     def graph_traverse(self, seeds: int | list[int], limit: int = 100, max_depth: int = 0, direction: str = "out") -> list[int]:
         """Node ids in the order of discovery, as a database function would return them.
 
-        The limit is capped by the configuration, so the list is of bounded size. A
+        The limit is a number, and capped by the configuration, so the list is of bounded size. A
         direction other than "in" is out, a depth of 0 or less has no bound.
         """
         found = self.traverse([seeds] if isinstance(seeds, int) else seeds, limit, max_depth, direction)

@@ -16,7 +16,7 @@ from weftgraph.operators.components import members, sizes
 from weftgraph.session import numbered, shared_folder
 from weftgraph.sources import layers
 from weftgraph.sources.builders import GraphBuilder, HypergraphBuilder
-from weftgraph.sources.relational import Registry, RelationalGraph, captured, dense_nodes, edge_scan, overlay_state, resolved, sync_nodes
+from weftgraph.sources.relational import Config, Registry, RelationalGraph, captured, dense_nodes, edge_scan, overlay_state, resolved, sync_nodes
 from weftgraph.store import GraphStore, merged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,9 +498,9 @@ def traverse_sql(more: str) -> str:
 
 
 def _traverse(spark, d, **more) -> DataFrame:
-    """From the smallest node that is not tombstoned."""
-    g = _with_overlay(spark, d)
-    return g.traverse([g.visible_nodes().agg(F.min("node")).first()[0]], g.config.traverse_limit, max_depth=3, ordered=False, **more)
+    """From the smallest node that is not tombstoned, everything within three hops: no limit, no cap."""
+    g = replace(_with_overlay(spark, d), config=Config(traverse_limit=None))
+    return g.traverse([g.visible_nodes().agg(F.min("node")).first()[0]], None, max_depth=3, ordered=False, **more)
 
 
 @query(traverse_sql(" UNION ALL SELECT 1000000000 + sequence, src, dst FROM added"))
